@@ -14,7 +14,7 @@ from longbox.functions.numbers import completion_pct, first_int
 from longbox.functions.text import normalize_barcode, normalize_name
 from longbox.functions.times import duration_s, fmt_hms, moment
 from longbox.operators.aggregates import by_month, issues_per_series
-from longbox.plans.scale import first_per_group, top_per_group, total
+from longbox.plans.scale import first_per_group, order_by, top_per_group, total
 
 
 def newest_series(series: DataFrame, n: int = 5) -> DataFrame:
@@ -53,12 +53,12 @@ def sync_attention(syncs: DataFrame, as_of: str, hours: int = 1) -> DataFrame:
 
 
 def natural_order_a(df: DataFrame, column: str = "issue_number", ties: tuple[str, ...] = ("id",)) -> DataFrame:
-    return df.orderBy(*natural_key_a(F.col(column)), *ties)
+    return order_by(df, *natural_key_a(F.col(column)), *map(F.col, ties))
 
 
 def natural_order_b(df: DataFrame, column: str = "issue_number", date: str = "cover_date",
                     ties: tuple[str, ...] = ("id",)) -> DataFrame:
-    return df.orderBy(*natural_key_b(F.col(column), F.col(date)), *ties)
+    return order_by(df, *natural_key_b(F.col(column), F.col(date)), *map(F.col, ties))
 
 
 def recent(df: DataFrame, n: int, by: str = "id", ties: list[str] | None = None) -> DataFrame:
@@ -106,7 +106,8 @@ def list_sort(df: DataFrame, key: str = "name", asc: bool = True) -> DataFrame:
     """List view order; an unknown key means by name."""
     keys = _list_keys()
     chosen = keys.get(key, keys["name"])
-    return df.orderBy(chosen.asc() if asc else chosen.desc(), "id")
+    keyed = df.withColumn("_key", chosen)
+    return keyed.orderBy(F.asc("_key") if asc else F.desc("_key"), "id").drop("_key")
 
 
 def _reading_key(single: Column) -> Column:

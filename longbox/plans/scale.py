@@ -100,3 +100,14 @@ def total(df: DataFrame, column: Column) -> Column:
 def single(spark) -> DataFrame:
     """One row to hang scalar subqueries on."""
     return spark.range(1).select()
+
+
+def order_by(df: DataFrame, *keys: Column) -> DataFrame:
+    """Sort on computed keys, computed once per row.
+
+    A sort on an expression evaluates it at every comparison; as columns of
+    their own the keys cost one evaluation and are dropped afterwards.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, keys)))
+    return keyed.orderBy(*names).drop(*names)
