@@ -152,9 +152,9 @@ def _(t):
 
 
 SIZE = """CASE WHEN {0} < 1024 THEN {0} || ' B'
-  WHEN {0} < 1048576 THEN printf('%.1f KB', {0} / 1024.0::DOUBLE)
-  WHEN {0} < 1073741824 THEN printf('%.1f MB', {0} / 1048576.0::DOUBLE)
-  ELSE printf('%.1f GB', {0} / 1073741824.0::DOUBLE) END"""
+  WHEN {0} < 1048576 THEN printf('%.1f KB', floor({0} / 1024.0::DOUBLE * 10 + 0.5) / 10)
+  WHEN {0} < 1073741824 THEN printf('%.1f MB', floor({0} / 1048576.0::DOUBLE * 10 + 0.5) / 10)
+  ELSE printf('%.1f GB', floor({0} / 1073741824.0::DOUBLE * 10 + 0.5) / 10) END"""
 
 
 @q("d17_file_stats", f"""
