@@ -233,7 +233,7 @@ def _descriptors(spark, folder):
         "vec_id AS kp_id",
         "CAST(embedding[0] AS DOUBLE) * 100 AS x",
         "CAST(embedding[1] AS DOUBLE) * 100 AS y",
-        "transform(embedding, e -> CAST(e AS DOUBLE)) AS descriptor",
+        "transform(embedding, e -> CAST(e AS DOUBLE) * 40) AS descriptor",
         "transform(sequence(0, 3), w -> aggregate(slice(embedding, w * 16 + 1, 16), 0L, "
         "(acc, e) -> acc * 2 + CASE WHEN e > 0 THEN 1L ELSE 0L END)) AS bits",
     )
@@ -364,7 +364,7 @@ ORACLE = {
           CASE WHEN (vec_id // 50) % 5 = 0 THEN 'query' ELSE 'candidate' END AS role,
           ['sift', 'orb', 'akaze', 'kaze'][CAST(vec_id % 4 AS INTEGER) + 1] AS detector, vec_id AS kp_id,
           CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y,
-          CAST(embedding AS DOUBLE[]) AS descriptor
+          list_transform(embedding, lambda e: CAST(e AS DOUBLE) * 40) AS descriptor
         FROM embeddings""",
 }
 
