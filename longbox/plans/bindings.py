@@ -385,6 +385,7 @@ def with_ctes(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({ORACLE[name]})" for name in needed)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"WITH {ctes}\n{body}"
