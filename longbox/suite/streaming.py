@@ -119,11 +119,11 @@ SQUEEZED = """sq AS (SELECT CAST(user_id AS VARCHAR) AS session_id, TIMESTAMP '2
 
 THROTTLED = f"""
     WITH RECURSIVE {SQUEEZED}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM sq),
-    r AS (SELECT session_id, n, event_id, true AS sent, ts AS at, progress AS v, stage AS st, 1 AS c FROM n WHERE n = 1
+    r AS (SELECT session_id, n, event_id, true AS sent, ts AS last_at, progress AS v, stage AS st, 1 AS c FROM n WHERE n = 1
       UNION ALL
-      SELECT session_id, n, event_id, ok, CASE WHEN ok THEN ts ELSE at END, CASE WHEN ok THEN progress ELSE v END, CASE WHEN ok THEN stage ELSE st END, c + CASE WHEN ok THEN 1 ELSE 0 END
-      FROM (SELECT n.session_id, n.n, n.event_id, n.ts, n.progress, n.stage, r.at, r.v, r.st, r.c,
-          r.c < 5 OR n.image OR n.stage <> r.st OR abs(n.progress - r.v) >= 3 OR date_sub('microsecond', r.at, n.ts) >= 200000 AS ok
+      SELECT session_id, n, event_id, ok, CASE WHEN ok THEN ts ELSE last_at END, CASE WHEN ok THEN progress ELSE v END, CASE WHEN ok THEN stage ELSE st END, c + CASE WHEN ok THEN 1 ELSE 0 END
+      FROM (SELECT n.session_id, n.n, n.event_id, n.ts, n.progress, n.stage, r.last_at, r.v, r.st, r.c,
+          r.c < 5 OR n.image OR n.stage <> r.st OR abs(n.progress - r.v) >= 3 OR date_sub('microsecond', r.last_at, n.ts) >= 200000 AS ok
         FROM r JOIN n ON n.session_id = r.session_id AND n.n = r.n + 1) s)
     SELECT session_id, event_id FROM r WHERE sent"""
 
