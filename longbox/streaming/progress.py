@@ -222,31 +222,35 @@ def throttle(events: DataFrame) -> DataFrame:
     marked = marked.withColumn("_sure", sure | F.col("_free").isNotNull()).drop("_prev", "_free")
     start = F.when(F.col("_sure"), F.struct(*order))
     runs = running(marked, keys, [F.col(c) for c in order], hour, {"_run": ("max", start)})
-    certain = runs.filter("_sure").drop("_sure", "_run")
+    certain = runs.filter("_sure")
     doubtful = runs.filter(~F.col("_sure")).select(*keys, "_run").distinct()
-    walked = runs.join(doubtful, [*keys, "_run"], "left_semi").withColumn(
-        "_run", F.concat_ws("/", F.col("_run.ts").cast("string"), F.col("_run.event_id").cast("string"))
-    )
-    columns = [c for c in events.columns]
+    run_name = F.concat_ws("/", F.col("_run.ts").cast("string"), F.col("_run.event_id").cast("string"))
+    walked = runs.join(doubtful, [*keys, "_run"], "left_semi").select(*events.columns, "_sure", run_name.alias("_run"))
     sent = (
-        walked.select(*columns, "_sure", "_run")
-        .groupBy(*keys, "_run")
-        .applyInPandas(_walk, walked.select(*columns, "_sure", "_run").schema)
-        .select(*columns)
+        walked.repartition(*keys, "_run")
+        .sortWithinPartitions(*keys, "_run", *order)
+        .mapInPandas(_walk, walked.schema)
+        .select(*events.columns)
     )
-    return certain.select(*columns).unionByName(sent)
-
-
-def _walk(run: pd.DataFrame) -> pd.DataFrame:
-    """The unsure events of one run that pass; its first event was sent."""
-    run = run.sort_values(["ts", "event_id"])
-    at = run["ts"].astype("int64").to_numpy() / _ticks(run["ts"])
-    value = run["progress"].to_numpy()
-    keep, last = [False] * len(run), 0
-    for i in range(1, len(run)):
-        if abs(value[i] - value[last]) >= MIN_JUMP or at[i] - at[last] >= MIN_GAP_S:
-            keep[i], last = True, i
-    return run[keep]
+    return certain.select(*events.columns).unionByName(sent)
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The unsure events that pass, from runs in order.
+
+    A run begins with its sure event, which was sent. Only the last sent time
+    and value are held, so a run of any length streams through.
+    """
+    sent_at = value = None
+    for batch in batches:
+        at = batch["ts"].astype("int64").to_numpy() / _ticks(batch["ts"])
+        keep = []
+        for now, progress, sure in zip(at, batch["progress"].to_numpy(), batch["_sure"].to_numpy()):
+            passes = not sure and (abs(progress - value) >= MIN_JUMP or now - sent_at >= MIN_GAP_S)
+            keep.append(passes)
+            if sure or passes:
+                sent_at, value = now, progress
+        yield batch[keep]
 
 
 def _ticks(series: pd.Series) -> float:
