@@ -7,6 +7,7 @@ one response per row, so their number grows with the tables.
 from pyspark.sql import functions as F
 
 from longbox.plans.bindings import AS_OF_EVENTS
+from longbox.plans.scale import spread
 from longbox.schemas import CANDIDATE_COVER, schema
 from longbox.sources import caches, catalogue, documents, listings, pages, tables
 from longbox.suite.registry import Suite
@@ -83,14 +84,14 @@ SERIES_COLUMNS = ["id", "name", "description", "issue_count", "publisher", "star
 @q("a05_parse_series_json", VOLUME_SQL.format(description=NICE, count="p_size", missing="NULL"))
 def _(t):
     body = f"""concat('{{"status_code": 1, "results": [', {VOLUME}, ', {{"resource_type": "issue", "id": 5}}]}}') AS body"""
-    return catalogue.parse_series_json(t.part.selectExpr(body), "body").select(*SERIES_COLUMNS)
+    return catalogue.parse_series_json(spread(t.part).selectExpr(body), "body").select(*SERIES_COLUMNS)
 
 
 @q("a06_parse_volumes_json", "SELECT 'list' AS kind, * FROM (" + VOLUME_SQL.format(description=RAW_TEXT, count="NULL::INTEGER", missing="''")
    + ") UNION ALL SELECT 'single', * FROM (" + VOLUME_SQL.format(description=NICE, count="p_size", missing="NULL") + ")")
 def _(t):
-    many = t.part.selectExpr(f"""concat('{{"results": [', {VOLUME}, ']}}') AS body""")
-    one = t.part.selectExpr(f"""concat('{{"results": ', {VOLUME}, '}}') AS body""")
+    many = spread(t.part).selectExpr(f"""concat('{{"results": [', {VOLUME}, ']}}') AS body""")
+    one = spread(t.part).selectExpr(f"""concat('{{"results": ', {VOLUME}, '}}') AS body""")
     parsed = catalogue.parse_volumes_json(many, "body").withColumn("kind", F.lit("list"))
     single = catalogue.parse_volumes_json(one, "body", single=True).withColumn("kind", F.lit("single"))
     return parsed.unionByName(single).select("kind", *SERIES_COLUMNS)
@@ -112,7 +113,7 @@ def issue_columns(df, *head):
 
 @q("a07_parse_issues_json", ISSUE_SQL.format(head="'list' AS kind,") + " UNION ALL " + ISSUE_SQL.format(head="'single' AS kind,"))
 def _(t):
-    rows = t.catalogue_issues.selectExpr("*", f"{ISSUE} AS item")
+    rows = spread(t.catalogue_issues).selectExpr("*", f"{ISSUE} AS item")
     many = rows.selectExpr("""concat('{"results": [', item, ']}') AS body""")
     one = rows.selectExpr("""concat('{"results": ', item, '}') AS body""")
     return issue_columns(catalogue.parse_issues_json(many, "body").withColumn("kind", F.lit("list")), "kind").unionByName(
@@ -124,7 +125,7 @@ def _(t):
 def _(t):
     # Pages of three issues; even volumes lose the fifth issue's neighbour, so
     # their second page is short and the third one does not count.
-    rows = t.catalogue_issues.selectExpr("series_id AS volume_id", "CAST(issue_number AS INT) AS n", f"{ISSUE} AS item")
+    rows = spread(t.catalogue_issues).selectExpr("series_id AS volume_id", "CAST(issue_number AS INT) AS n", f"{ISSUE} AS item")
     rows = rows.withColumn("page", F.floor((F.col("n") - 1) / 3)).filter("NOT (volume_id % 2 = 0 AND n = 6)")
     # A page is a response of at most three issues.
     bodies = rows.groupBy("volume_id", "page").agg(
@@ -145,7 +146,7 @@ XML = """concat('<?xml version="1.0"?><d:multistatus xmlns:d="DAV:"><d:response>
       CAST(TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id % 1000) AS VARCHAR) AS modified FROM documents
     UNION ALL SELECT doc_id, source || '/notes.txt', 'notes.txt', 'n', NULL, '', NULL FROM documents""")
 def _(t):
-    rows = t.documents.selectExpr("doc_id", "concat('/dav/box/', source) AS folder", f"{XML} AS body")
+    rows = spread(t.documents).selectExpr("doc_id", "concat('/dav/box/', source) AS folder", f"{XML} AS body")
     files = listings.parse_listing_xml(rows, "body", "folder", "/dav/box/")
     return files.select(
         "doc_id", "file_path", "file_name", "file_etag", "file_size", "content_type", F.col("file_last_modified").cast("string").alias("modified"))
@@ -153,7 +154,7 @@ def _(t):
 
 @q("a09_folder_info", """SELECT doc_id, '"f' || doc_id || '"' AS etag, '2024-01-01 00:00:00' AS modified FROM documents""")
 def _(t):
-    rows = t.documents.selectExpr("doc_id", "concat('/dav/box/', source, '/') AS folder", f"{XML} AS body")
+    rows = spread(t.documents).selectExpr("doc_id", "concat('/dav/box/', source, '/') AS folder", f"{XML} AS body")
     return listings.folder_info(rows, "body", "folder").select(
         "doc_id", F.col("folder_etag").alias("etag"), F.col("folder_last_modified").cast("string").alias("modified"))
 
@@ -164,14 +165,14 @@ def _(t):
     WHERE CASE page_id % 3 WHEN 0 THEN n = 0 WHEN 1 THEN n = 1 ELSE n = 2 END""")
 def _(t):
     # The whole stored page surrounds every link that is followed.
-    searches = t.pages.selectExpr(
+    searches = spread(t.pages).selectExpr(
         "page_id AS search_id", "CAST(1 + page_id % 3 AS STRING) AS issue_number",
         "concat(html, '<a class=\"x\" href=\"/series/', page_id, '/\">S</a><a href=\"/series/none/\">no</a>') AS html")
     number = "concat('<tr><td> #', n, ' </td><td><a href=\"/covers/', page_id, '/a/\">a</a><a href=\"/covers/', page_id, '/b/\">b</a></td></tr>')"
-    series = t.pages.selectExpr(
+    series = spread(t.pages).selectExpr(
         f"concat('{BASE}/series/', page_id, '/') AS url",
         f"concat(html, '<table class=\"wide listing\"><tr><th>No</th></tr>', array_join(transform(array(1, 2, 3), n -> {number}), ''), '</table>') AS html")
-    covers = t.pages.selectExpr("page_id", "html", "explode(array(0, 1)) AS k").selectExpr(
+    covers = spread(t.pages).selectExpr("page_id", "html", "explode(array(0, 1)) AS k").selectExpr(
         f"concat('{BASE}/covers/', page_id, CASE WHEN k = 0 THEN '/a/' ELSE '/b/' END) AS url",
         "concat(html, '<img src=\"/logo.png\"><img alt=\"c\" src=\"/covers/', page_id, '/', k, '.jpg\">') AS html")
     found = pages.extract_cover_links(searches, series.unionByName(covers), BASE)
@@ -187,14 +188,14 @@ IMAGES = """concat('<title>Covers :: Page ', page_id, '</title>', html, '<img sr
     SELECT page_id, 'Page ' || page_id AS name, 'https://site.example/x/covers_by_id/' || page_id || '.png https://site.example/rel/' || page_id || '.png http://h/covers/1.png https://cdn/'
       || page_id || '.png https://site.example/a/' || page_id || '.png' AS urls FROM pages""")
 def _(t):
-    rows = pages.extract_images(t.pages.selectExpr("page_id", f"{IMAGES} AS html"), BASE)
+    rows = pages.extract_images(spread(t.pages).selectExpr("page_id", f"{IMAGES} AS html"), BASE)
     return rows.select("page_id", "name", F.array_join("urls", " ").alias("urls"))
 
 
 @q("a12_extract_result_links", """SELECT page_id, 'http://r/1?a=1&b=2 http://r/2 http://r/4 http://r/5' AS urls FROM pages""")
 def _(t):
     found = "concat(html, '<a class=\"result-images-source\" href=\"http://r/1?a=1&amp;b=2\">', array_join(transform(array(2, 3, 4, 5, 6), n -> concat('<a class=\"result-images-source\" href=\"', CASE WHEN n = 3 THEN ' ' ELSE concat('http://r/', n) END, '\">x</a>')), '')) AS html"
-    rows = pages.extract_result_links(t.pages.selectExpr("page_id", found))
+    rows = pages.extract_result_links(spread(t.pages).selectExpr("page_id", found))
     return rows.select("page_id", F.array_join("urls", " ").alias("urls"))
 
 

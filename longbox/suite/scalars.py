@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from longbox.functions import numbers, progress, text, times
+from longbox.plans.scale import spread
 from longbox.suite.registry import Suite
 
 suite = Suite()
@@ -44,8 +45,8 @@ def digested(df, column):
 
 def texts(t):
     """Every document and every page, whole."""
-    docs = t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return docs.unionByName(t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body")))
+    docs = spread(t.documents).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return docs.unionByName(spread(t.pages).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body")))
 
 
 TEXTS = "(SELECT 'doc' AS kind, doc_id AS id, text AS body FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)"
@@ -93,7 +94,7 @@ def _(t):
 
 @q("h07_sanitize_key", f"""SELECT doc_id, md5({sub('lower(text)', ('[^a-z0-9_-]', '_'), ('_{2,}', '_'), ('^_|_$', ''))}) AS key FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", F.md5(text.sanitize_key(F.col("text"))).alias("key"))
+    return spread(t.documents).select("doc_id", F.md5(text.sanitize_key(F.col("text"))).alias("key"))
 
 
 @q("h08_image_path", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '/' || doc_id WHEN 1 THEN lang || '/' || doc_id ELSE 'plain/' || doc_id END AS path FROM documents""")
@@ -216,7 +217,7 @@ def _(t):
     SELECT doc_id, rtrim(translate(to_base64(unhex(sha256(text))), '+/', '-_'), '=') AS etag, md5(text) AS url_hash, sha256(text) AS content_hash FROM documents""")
 def _(t):
     body = F.col("text")
-    return t.documents.select(
+    return spread(t.documents).select(
         "doc_id", text.etag(body).alias("etag"), text.url_hash(body).alias("url_hash"), text.content_hash(body).alias("content_hash"))
 
 
