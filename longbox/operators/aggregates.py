@@ -12,7 +12,13 @@ from longbox.functions.times import fmt_mmss, moment, month_of, seconds_between
 from longbox.operators.filters import complete_eq
 from longbox.plans.scale import one_row, single, total
 
-OWNED, AVAILABLE = F.col("issues_owned_count"), F.col("issues_available_count")
+
+def _owned() -> Column:
+    return F.col("issues_owned_count")
+
+
+def _available() -> Column:
+    return F.col("issues_available_count")
 
 
 def _n(name: str = "count") -> Column:
@@ -117,13 +123,13 @@ def growth(issues: DataFrame, as_of: str) -> DataFrame:
 
 
 def _share() -> Column:
-    return OWNED * 100.0 / AVAILABLE
+    return _owned() * 100.0 / _available()
 
 
 def completion(series: DataFrame) -> DataFrame:
-    tracked = series.filter(AVAILABLE > 0)
+    tracked = series.filter(_available() > 0)
     return tracked.agg(
-        F.count_if(OWNED >= AVAILABLE).alias("completed_series"),
+        F.count_if(_owned() >= _available()).alias("completed_series"),
         _n("total_tracked_series"),
         F.coalesce(round_half_up(F.avg(F.least(_share(), F.lit(100.0))), 1), F.lit(0.0)).alias(
             "average_completion"
@@ -132,21 +138,21 @@ def completion(series: DataFrame) -> DataFrame:
 
 
 def completion_rank(series: DataFrame, least: bool = False, n: int = 10) -> DataFrame:
-    tracked = series.filter(AVAILABLE > 0)
+    tracked = series.filter(_available() > 0)
     if least:
-        tracked = tracked.filter(OWNED < AVAILABLE)
+        tracked = tracked.filter(_owned() < _available())
     share = _share() if least else -_share()
     return tracked.orderBy(share, "id").limit(n).select(
         "id",
         "name",
-        OWNED.cast("bigint").alias("owned"),
-        AVAILABLE.cast("bigint").alias("available"),
+        _owned().cast("bigint").alias("owned"),
+        _available().cast("bigint").alias("available"),
         round_half_up(_share(), 1).alias("percentage"),
     )
 
 
 def is_complete_ge(series: DataFrame) -> DataFrame:
-    return series.withColumn("is_complete", (AVAILABLE > 0) & (OWNED >= AVAILABLE))
+    return series.withColumn("is_complete", (_available() > 0) & (_owned() >= _available()))
 
 
 def values(issues: DataFrame, series: DataFrame) -> DataFrame:
@@ -330,7 +336,7 @@ def series_stats(series: DataFrame) -> DataFrame:
 
 
 def completion_eq(series: DataFrame) -> DataFrame:
-    done, tracked = F.count_if(complete_eq()), F.count_if(F.coalesce(AVAILABLE, F.lit(0)) > 0)
+    done, tracked = F.count_if(complete_eq()), F.count_if(F.coalesce(_available(), F.lit(0)) > 0)
     return series.agg(
         done.alias("completed"), tracked.alias("total"),
         percent(done, tracked, 0).cast("bigint").alias("percentage"),

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from longbox.schemas import SCHEMAS
 from longbox.session import checkpoint_dir
@@ -19,7 +18,7 @@ log = logging.getLogger(__name__)
 
 
 def load_tables(
-    spark: SparkSession, folder: str, schemas: dict[str, T.StructType] = SCHEMAS
+    spark: SparkSession, folder: str, schemas: dict[str, str] = SCHEMAS
 ) -> dict[str, DataFrame]:
     """Every table under its explicit schema; no inference, no extra file scan."""
     return {name: spark.read.schema(s).parquet(f"{folder}/{name}.parquet") for name, s in schemas.items()}

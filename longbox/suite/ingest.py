@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from longbox.plans.bindings import AS_OF_EVENTS
 from longbox.plans.scale import spread
-from longbox.schemas import CANDIDATE_COVER, schema
+from longbox.schemas import CANDIDATE_COVER
 from longbox.sources import caches, catalogue, documents, listings, pages, tables
 from longbox.suite.registry import Suite
 
@@ -17,10 +17,10 @@ q = suite.add
 BASE = "https://site.example"
 
 TYPED = {
-    "part": schema("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"),
-    "orders": schema(
+    "part": ("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"),
+    "orders": (
         "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
-    "lineitem": schema(
+    "lineitem": (
         "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
         "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
 }
