@@ -182,7 +182,7 @@ def status(live: DataFrame, memory: DataFrame, stored: DataFrame, ids: DataFrame
 
 # --- throttling --------------------------------------------------------------
 
-MIN_GAP_S = 0.2
+MIN_GAP_US = 200_000
 MIN_JUMP = 3
 FREE_UPDATES = 5
 IMAGE_WORDS = r"Image |image |Processing|Completed|Failed"
@@ -209,13 +209,13 @@ def throttle(events: DataFrame) -> DataFrame:
     order = ["ts", "event_id"]
     hour = hour_slice()
     with_last = previous(events, keys, order, hour, ["stage"], "_prev")
-    gap = F.timestamp_diff("MICROSECOND", F.col("_prev.ts"), F.col("ts")) / 1e6
+    gap = F.timestamp_diff("MICROSECOND", F.col("_prev.ts"), F.col("ts"))
     sure = (
         F.col("_prev").isNull()
         | important(F.col("stage"), F.col("progress"))
         | F.coalesce(F.col("message").rlike(IMAGE_WORDS), F.lit(False))
         | ~F.col("stage").eqNullSafe(F.col("_prev.stage"))
-        | (gap >= MIN_GAP_S)
+        | (gap >= MIN_GAP_US)
     )
     head = top_per_group(events.select(*keys, *order), keys, [F.col(c) for c in order], FREE_UPDATES).drop("rank")
     marked = with_last.join(head.withColumn("_free", F.lit(True)), [*keys, *order], "left")
@@ -243,19 +243,18 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     sent_at = value = None
     for batch in batches:
-        at = batch["ts"].astype("int64").to_numpy() / _ticks(batch["ts"])
+        at = _micros(batch["ts"])
         keep = []
         for now, progress, sure in zip(at, batch["progress"].to_numpy(), batch["_sure"].to_numpy()):
-            passes = not sure and (abs(progress - value) >= MIN_JUMP or now - sent_at >= MIN_GAP_S)
+            passes = not sure and (abs(progress - value) >= MIN_JUMP or now - sent_at >= MIN_GAP_US)
             keep.append(passes)
             if sure or passes:
                 sent_at, value = now, progress
         yield batch[keep]
 
 
-def _ticks(series: pd.Series) -> float:
-    unit = str(series.dtype).rsplit("[", 1)[-1].rstrip("]")
-    return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[unit]
+def _micros(stamps: pd.Series):
+    return stamps.astype("datetime64[us]").astype("int64").to_numpy()
 
 
 def _throttle_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -266,7 +265,7 @@ def _throttle_state(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
     sent_at, value, stage, count = state.get if state.exists else (None, None, None, 0)
     for batch in batches:
         batch = batch.sort_values(["ts", "event_id"])
-        at = batch["ts"].astype("int64").to_numpy() / _ticks(batch["ts"])
+        at = _micros(batch["ts"])
         keep = []
         for now, row in zip(at, batch.itertuples(index=False)):
             name = row.stage or ""
@@ -277,12 +276,12 @@ def _throttle_state(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
                 or row.progress >= 100
                 or name != stage
                 or abs(row.progress - value) >= MIN_JUMP
-                or now - sent_at >= MIN_GAP_S
+                or now - sent_at >= MIN_GAP_US
                 or any(word in (row.message or "") for word in IMAGE_WORDS.split("|"))
             )
             keep.append(passes)
             if passes:
-                sent_at, value, stage, count = float(now), int(row.progress), name, count + 1
+                sent_at, value, stage, count = int(now), int(row.progress), name, count + 1
         yield batch[keep][EVENT_COLUMNS]
     state.update((sent_at, value, stage, count))
     state.setTimeoutDuration(TTL_MS)
@@ -292,7 +291,7 @@ def throttle_stream(events: DataFrame) -> DataFrame:
     """The rate limit on a stream. A session is one sequence by nature, walked
     in arrival batches with a four-field state."""
     return events.select(*EVENT_COLUMNS).groupBy("session_id").applyInPandasWithState(
-        _throttle_state, EVENT, "sent_at DOUBLE, value INT, stage STRING, n INT", "append",
+        _throttle_state, EVENT, "sent_at BIGINT, value INT, stage STRING, n INT", "append",
         GroupStateTimeout.ProcessingTimeTimeout,
     )
 
