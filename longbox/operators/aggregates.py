@@ -36,15 +36,40 @@ def _histogram(df: DataFrame, key: Column, name: str) -> DataFrame:
 # --- collection -------------------------------------------------------------
 
 
+def issue_facts(issues: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """Counts, sums and the dearest issue per key: all that the collection
+    statistics need of the issues, in one pass with map-side combine."""
+    value = F.col("current_value")
+    dearest = F.struct(value, (-F.col("id")).alias("neg_id"), "series_id", "issue_number", "title")
+    return issues.groupBy(*keys).agg(
+        _n("n"),
+        F.count_if("read").alias("read"),
+        F.count_if("is_key_issue").alias("keys"),
+        F.count_if("is_variants").alias("variants"),
+        F.sum(value).alias("current"),
+        F.sum("purchase_price").alias("paid"),
+        F.sum(F.when(value > 0, value)).alias("positive"),
+        F.count_if(value > 0).alias("valued"),
+        F.max(F.when(value > 0, dearest)).alias("top"),
+    )
+
+
 def overview(series: DataFrame, issues: DataFrame, missing: DataFrame) -> DataFrame:
     """Eight scalars, one pass per table."""
+    return overview_of(series, issue_facts(issues, []), missing)
+
+
+def overview_of(series: DataFrame, facts: DataFrame, missing: DataFrame) -> DataFrame:
+    def sum_of(column: str, name: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).alias(name)
+
     owned = one_row(
-        issues,
-        _n("total_issues"),
-        F.count_if("is_key_issue").alias("key_issues"),
-        F.count_if("is_variants").alias("variant_issues"),
-        _money("current_value").alias("total_current_value"),
-        _money("purchase_price").alias("total_purchase_value"),
+        facts,
+        sum_of("n", "total_issues"),
+        sum_of("keys", "key_issues"),
+        sum_of("variants", "variant_issues"),
+        _money("current").alias("total_current_value"),
+        _money("paid").alias("total_purchase_value"),
     )
     gaps = total(missing, F.count_if(~F.col("is_resolved")))
     return (
@@ -62,7 +87,10 @@ def issues_per_series(issues: DataFrame) -> DataFrame:
 
 def publisher_breakdown(series: DataFrame, issues: DataFrame) -> DataFrame:
     """Series and issue counts per publisher; the share is of all series."""
-    counts = issues_per_series(issues)
+    return publisher_breakdown_of(series, issues_per_series(issues))
+
+
+def publisher_breakdown_of(series: DataFrame, counts: DataFrame) -> DataFrame:
     per_series = series.select("id", "publisher").join(counts, F.col("id") == F.col("series_id"), "left")
     named = per_series.groupBy("publisher").agg(
         _n("series_count"), F.coalesce(F.sum("issue_count"), F.lit(0)).alias("issue_count")
@@ -89,14 +117,22 @@ def conditions(issues: DataFrame) -> DataFrame:
 
 def issues_per_name(issues: DataFrame, series: DataFrame) -> DataFrame:
     """Issue counts by series *name*; series of one name share a row."""
+    return counts_per_name(issues_per_series(issues), series)
+
+
+def counts_per_name(counts: DataFrame, series: DataFrame) -> DataFrame:
     names = series.select(F.col("id").alias("series_id"), "name")
-    return issues_per_series(issues).join(names, "series_id").groupBy("name").agg(
+    return counts.join(names, "series_id").groupBy("name").agg(
         F.sum("issue_count").alias("count")
     )
 
 
 def top_series(issues: DataFrame, series: DataFrame, n: int = 10) -> DataFrame:
-    return issues_per_name(issues, series).orderBy(F.desc("count"), "name").limit(n)
+    return top_names(issues_per_name(issues, series), n)
+
+
+def top_names(counts: DataFrame, n: int = 10) -> DataFrame:
+    return counts.orderBy(F.desc("count"), "name").limit(n)
 
 
 def growth(issues: DataFrame, as_of: str) -> DataFrame:
@@ -105,7 +141,14 @@ def growth(issues: DataFrame, as_of: str) -> DataFrame:
     The window runs over months, of which a calendar has few.
     """
     dated = issues.filter(F.col("created_at").isNotNull())
-    added = dated.groupBy(F.trunc("created_at", "MM").alias("first_day")).agg(_n("added"))
+    return growth_of(dated.groupBy(first_day()).agg(_n("added")), as_of)
+
+
+def first_day() -> Column:
+    return F.trunc("created_at", "MM").alias("first_day")
+
+
+def growth_of(added: DataFrame, as_of: str) -> DataFrame:
     end = F.trunc(F.lit(as_of[:10]).cast("date"), "MM")
     span = added.agg(F.min("first_day").alias("start")).filter(F.col("start") <= end)
     months = span.select(F.explode(F.sequence("start", end, F.expr("INTERVAL 1 MONTH"))).alias("first_day"))
@@ -157,14 +200,15 @@ def is_complete_ge(series: DataFrame) -> DataFrame:
 
 def values(issues: DataFrame, series: DataFrame) -> DataFrame:
     """Value totals and the single dearest issue (lowest id on a tie)."""
-    value = F.col("current_value")
-    positive = value > 0
-    dearest = F.struct(value, (-F.col("id")).alias("neg_id"), "series_id", "issue_number", "title")
-    summed = issues.agg(
-        F.coalesce(F.sum(F.when(positive, value)), F.lit(0)).cast("decimal(38,2)").alias("current"),
-        F.coalesce(F.sum("purchase_price"), F.lit(0)).cast("decimal(38,2)").alias("paid"),
-        F.count_if(positive).alias("issues_with_value"),
-        F.max(F.when(positive, dearest)).alias("top"),
+    return values_of(issue_facts(issues, []), series)
+
+
+def values_of(facts: DataFrame, series: DataFrame) -> DataFrame:
+    summed = facts.agg(
+        F.coalesce(F.sum("positive"), F.lit(0)).cast("decimal(38,2)").alias("current"),
+        F.coalesce(F.sum("paid"), F.lit(0)).cast("decimal(38,2)").alias("paid"),
+        F.coalesce(F.sum("valued"), F.lit(0)).alias("issues_with_value"),
+        F.max("top").alias("top"),
     )
     names = series.select(F.col("id").alias("top_series_id"), F.col("name").alias("top_series_name"))
     # Scale 2, HALF_UP, on exact cents: floor((2 * cents + n) / (2 * n)).
@@ -186,7 +230,11 @@ def values(issues: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def read_stats(issues: DataFrame) -> DataFrame:
-    counted = issues.agg(_n("n"), F.count_if("read").alias("read"))
+    return read_stats_of(issues.agg(_n("n"), F.count_if("read").alias("read")))
+
+
+def read_stats_of(facts: DataFrame) -> DataFrame:
+    counted = facts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("read"), F.lit(0)).alias("read"))
     return counted.select(
         "read", (F.col("n") - F.col("read")).alias("unread"),
         percent(F.col("read"), F.col("n")).alias("read_percentage"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +22,38 @@ def _cells(section: str, df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def collection_report(tables: Mapping[str, DataFrame], as_of: str) -> DataFrame:
-    """All statistics sections. Sections share scans through reused exchanges
-    where Catalyst finds them; callers that run it on slow storage may pass
-    cached inputs."""
+    """All statistics sections.
+
+    The issues are the large table: they are read once into facts per (series,
+    condition, month), which are kept for the sections made from them, and
+    once more for the newest issues. Lost cached parts are computed again.
+    """
     series, issues, missing = tables["series"], tables["issues"], tables["missing_issues"]
     progress, files, syncs = tables["progress"], tables["files"], tables["syncs"]
+    facts = agg.issue_facts(issues, ["series_id", "condition", agg.first_day()]).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def counts(key: str, name: str) -> DataFrame:
+        return facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias(name))
+
+    per_series = counts("series_id", "issue_count")
     sections = [
-        _cells("overview", agg.overview(series, issues, missing)),
-        _cells("publisherBreakdown", agg.publisher_breakdown(series, issues), "name"),
+        _cells("overview", agg.overview_of(series, facts, missing)),
+        _cells("publisherBreakdown", agg.publisher_breakdown_of(series, per_series), "name"),
         _cells("decadeBreakdown", agg.decades(series), "decade"),
-        _cells("conditionBreakdown", agg.conditions(issues), "condition"),
-        _cells("topSeriesByIssueCount", agg.top_series(issues, series), "name"),
-        _cells("collectionGrowth", agg.growth(issues, as_of), "month"),
+        _cells("conditionBreakdown", counts("condition", "count"), "condition"),
+        _cells("topSeriesByIssueCount", agg.top_names(agg.counts_per_name(per_series, series)), "name"),
+        _cells("collectionGrowth", agg.growth_of(counts("first_day", "added"), as_of), "month"),
         _cells("completionStats", agg.completion(series)),
         _cells("topSeriesCompletion", agg.completion_rank(series), "id"),
         _cells("leastCompleteSeriesCompletion", agg.completion_rank(series, least=True), "id"),
-        _cells("valueAnalysis", agg.values(issues, series)),
+        _cells("valueAnalysis", agg.values_of(facts, series)),
         _cells("newestSeries", ranking.newest_series(series).select("id", "name", "publisher"), "id"),
         _cells(
             "newestIssues",
             ranking.newest_issues(issues, series, ties=["id", "series_id"]).select("id", "series_name", "issue_number"),
             "id",
         ),
-        _cells("readStats", agg.read_stats(issues)),
+        _cells("readStats", agg.read_stats_of(facts)),
         _cells("sessionDistribution", agg.session_dist(progress).select(
             F.concat_ws(".", "kind", "key").alias("key_"), "count"), "key_"),
         _cells("sessionDurations", agg.durations(progress)),

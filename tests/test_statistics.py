@@ -151,3 +151,26 @@ def test_report_has_all_sections(spark):
 
     sections = {r[0] for r in full_report(Tables(spark, "/root/testdata/sf0.001")).select("section").distinct().collect()}
     assert len(sections) >= 26 and collection_report
+
+
+def test_report_equals_the_single_operators(spark):
+    from longbox.plans.bindings import AS_OF_EVENTS
+    from longbox.plans.report import _cells
+    from longbox.suite.aggregates import full_report
+    from longbox.suite.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    report = {}
+    for r in full_report(t).collect():
+        report.setdefault(r["section"], set()).add((r["key"], r["value"]))
+    single = {
+        "overview": _cells("x", agg.overview(t.series_owned, t.issues, t.missing_issues)),
+        "publisherBreakdown": _cells("x", agg.publisher_breakdown(t.series_owned, t.issues), "name"),
+        "conditionBreakdown": _cells("x", agg.conditions(t.issues), "condition"),
+        "topSeriesByIssueCount": _cells("x", agg.top_series(t.issues, t.series_owned), "name"),
+        "collectionGrowth": _cells("x", agg.growth(t.issues, AS_OF_EVENTS), "month"),
+        "valueAnalysis": _cells("x", agg.values(t.issues, t.series_owned)),
+        "readStats": _cells("x", agg.read_stats(t.issues)),
+    }
+    for section, df in single.items():
+        assert report[section] == {(r["key"], r["value"]) for r in df.collect()}, section
