@@ -2,7 +2,7 @@
 
 Key sets are made distinct before they meet the other side, so no join emits
 more rows than its larger input; lists per key stay flat rows. Physical joins
-are left to AQE, which broadcasts by measured size and splits skewed sides.
+are left to Spark: it broadcasts below a size threshold, splits skewed sides.
 """
 
 from __future__ import annotations

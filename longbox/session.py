@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the plans rely on. AQE splits skewed join partitions, coalesces
-# small ones and turns joins into broadcasts only after it has seen the real
-# size of a side; nothing is broadcast by hand in this package.
+# Settings the plans rely on. AQE splits skewed join partitions and coalesces
+# small ones. Nothing is broadcast by hand in this package: Spark does so only
+# for a side below its size threshold, by estimate or as measured at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
