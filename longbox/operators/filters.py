@@ -256,18 +256,23 @@ def review_filter(df: DataFrame, status: str = "all", confidence: str = "all") -
     return df if confidence == "all" else df.filter(F.col("confidence") == confidence)
 
 
-def rule_errors(required: list[str], limits: dict[str, int]) -> Column:
-    """Array of the rules a row breaks."""
+def rule_errors(
+    required: list[str], limits: dict[str, int], domains: dict[str, list[str]] | None = None
+) -> Column:
+    """Array of the rules a row breaks; nulls pass length and domain checks."""
     blank = [
         F.when(F.coalesce(F.trim(F.col(c)) == "", F.lit(True)), F.lit(f"{c} is required")) for c in required
     ]
     long = [F.when(F.length(c) > n, F.lit(f"{c} is longer than {n}")) for c, n in limits.items()]
-    return F.array_compact(F.array(*blank, *long))
+    odd = [F.when(~F.col(c).isin(values), F.lit(f"{c} is not a known value")) for c, values in (domains or {}).items()]
+    return F.array_compact(F.array(*blank, *long, *odd))
 
 
-def validate(df: DataFrame, required: list[str], limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+def validate(
+    df: DataFrame, required: list[str], limits: dict[str, int], domains: dict[str, list[str]] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows that pass, rows that fail with their ``errors``)."""
-    checked = df.withColumn("errors", rule_errors(required, limits))
+    checked = df.withColumn("errors", rule_errors(required, limits, domains))
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 

@@ -9,7 +9,8 @@ LISTING = (
     "response ARRAY<STRUCT<href: STRING, propstat: ARRAY<STRUCT<prop: STRUCT<getetag: STRING, "
     "getcontentlength: STRING, getcontenttype: STRING, getlastmodified: STRING>>>>>"
 )
-RFC_1123 = "EEE, d MMM yyyy HH:mm:ss z"
+# Fixed value: the RFC 1123 date format behind the weekday.
+STAMP_FORMAT = "d MMM yyyy HH:mm:ss z"
 
 
 def _first(props: Column, name: str) -> Column:
@@ -21,7 +22,7 @@ def _first(props: Column, name: str) -> Column:
 def _stamp(column: Column) -> Column:
     # Weekday names do not take part in parsing.
     text = F.regexp_replace(column, r"^\w{3},\s*", "")
-    return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss z")).cast("timestamp_ntz")
+    return F.try_to_timestamp(text, F.lit(STAMP_FORMAT)).cast("timestamp_ntz")
 
 
 def _responses(df: DataFrame, column: str) -> DataFrame:

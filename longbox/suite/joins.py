@@ -8,7 +8,6 @@ from longbox.suite.registry import Suite
 
 suite = Suite()
 q = suite.add
-OWNED = "SELECT DISTINCT comic_vine_id FROM issues"
 
 
 def kept_issues(t):

@@ -133,6 +133,15 @@ def test_validate_splits_rows(spark):
     assert sorted(len(r["errors"]) for r in bad.collect()) == [1, 2]
 
 
+def test_validate_knows_the_enum_domains(spark):
+    from longbox.schemas import ENUMS
+
+    df = spark.createDataFrame([("MINT",), (None,), ("SHREDDED",)], "condition STRING")
+    good, bad = filters.validate(df, [], {}, {"condition": ENUMS["condition"]})
+    assert [r[0] for r in good.collect()] == ["MINT", None]
+    assert [tuple(r["errors"]) for r in bad.collect()] == [("condition is not a known value",)]
+
+
 def test_advanced_search_uses_start_year_twice(spark):
     assert [r["id"] for r in filters.advanced_search(series(spark), None, 1990, 1999).collect()] == [1, 2]
     assert filters.advanced_search(series(spark), " ").count() == 6
