@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe
+from longbox.llm import bpe, neardup
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -38,3 +38,8 @@ def _(t):
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@q("op5_minhash_near_duplicates")
+def _(t):
+    return neardup.near_duplicates(_descriptions(t)).withColumnRenamed("id", "doc_id")
