@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, neardup
+from longbox.llm import bpe, decontaminate, neardup
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -43,3 +43,17 @@ def _(t):
 @q("op5_minhash_near_duplicates")
 def _(t):
     return neardup.near_duplicates(_descriptions(t)).withColumnRenamed("id", "doc_id")
+
+
+@q("op10_benchmark_decontamination")
+def _(t):
+    found = decontaminate.contamination(_descriptions(t), t.benchmark)
+    items = F.array_sort(F.array_distinct(F.col("matches.item_id")).cast("array<string>"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
