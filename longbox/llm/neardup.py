@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longbox.llm.components import components
@@ -39,7 +39,12 @@ UNIVERSE = 1 << 20
 SEED = 20
 # Places handled at a time, which bounds the memory of a very long text.
 PLACES = 8192
+# Leaders of a bucket grow by this factor from round to round.
 LEADERS = 4
+# Two low bits of each coordinate, in words of 64 bits, tell hopeless pairs: at
+# the threshold more than 50 of 128 differ less than once in 10**7.
+SKETCH = 4
+DIFFERENT = 50
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -97,16 +102,32 @@ class Circulant:
             np.minimum(least, self.ranks[places[start : start + PLACES]].min(axis=0), out=least)
         return least
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
+    def bands(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit bucket number a band."""
-        rows = self.signature(shingles).reshape(BANDS, ROWS).astype(np.uint64)
+        rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
         bucket = np.arange(1, BANDS + 1, dtype=np.uint64)
         for i in range(ROWS):
             bucket = _mix(bucket) + rows[:, i]
         return _mix(bucket).view(np.int64)
 
 
-SIGNED = "id BIGINT, n_shingles BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT>"
+SIGNED = "id BIGINT, n_shingles BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT>, sketch ARRAY<BIGINT>"
+
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """The two low bits of all coordinates, packed."""
+    bits = (signature.reshape(SKETCH, -1) & 3).astype(np.uint64)
+    return (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _differences(a: str, b: str) -> Column:
+    """Number of coordinates whose bits differ between two sketches."""
+    total = F.lit(0)
+    for i in range(SKETCH):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        total = total + F.bit_count(either)
+    return total
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +135,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column("description"))
         digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
+        signatures = [circulant.signature(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_pydict(
             {
                 "id": batch.column("id"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array([d[0] for d in digests], pa.int64()),
                 "d2": pa.array([d[1] for d in digests], pa.int64()),
-                "bands": pa.array([circulant.bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                "bands": pa.array([[] if s is None else circulant.bands(s) for s in signatures], pa.list_(pa.int64())),
+                "sketch": pa.array([[] if s is None else sketch(s) for s in signatures], pa.list_(pa.int64())),
             }
         )
 
@@ -146,21 +169,37 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
+def _central(members: DataFrame) -> DataFrame:
+    """``members`` with ``weight``: how many others the class meets over its buckets.
+
+    The class in the middle of a group of copies shares most buckets with most of them.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("_size"))
+    weights = members.join(sizes, "bucket").groupBy("rep").agg(F.sum("_size").alias("weight"))
+    return members.join(weights, "rep")
+
+
 def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Confirmed links (u, v) between the ``members`` (bucket, rep, n, label) of open buckets.
+    """Confirmed links (u, v) between the ``members`` of open buckets.
 
-    Each round compares some members of a bucket, the leaders, with all its
-    others; those then leave it. The rounds end when no bucket holds two
-    components any more, so that every pair has met or is linked otherwise.
+    ``members``: bucket, rep, n, sketch, weight, label. Each round compares some
+    members of a bucket, the leaders, with all its others; those then leave it.
+    The rounds end when no bucket holds two components any more, so that every
+    pair has met or is linked otherwise. Central members lead first: they link
+    most of a group at once, and who is linked need not be compared again.
     """
-    confirmed, leaders, number = None, 1, 0
+    confirmed, leaders = None, 1
     while not members.isEmpty():
-        order = F.xxhash64("rep", F.lit(number)) if number else F.col("rep")
-        chosen = top_per_group(members, ["bucket"], [order, F.col("rep")], leaders)
-        chosen = stored(chosen.selectExpr("bucket", "rep AS u", "n AS _n", "label AS _label"), "leaders")
+        chosen = top_per_group(members, ["bucket"], [F.desc("weight"), F.col("rep")], leaders)
+        chosen = stored(chosen.selectExpr("bucket", "rep AS u", "n AS _n", "sketch AS _sketch", "label AS _label"), "leaders")
+        hopeful = (
+            (F.col("label") != F.col("_label"))
+            & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
+            & (_differences("sketch", "_sketch") <= DIFFERENT)
+        )
         pairs = (
             members.join(chosen, "bucket")
-            .filter((F.col("label") != F.col("_label")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")))
+            .filter(hopeful)
             .select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v"))
             .distinct()
         )
@@ -169,12 +208,13 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         labels = components(confirmed).withColumnRenamed("u", "rep")
         rest = (
             members.join(chosen.withColumnRenamed("u", "rep"), ["bucket", "rep"], "left_anti")
-            .select("bucket", "rep", "n")
+            .drop("label")
             .join(labels, "rep", "left")
-            .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
+            .withColumn("label", F.coalesce("component", "rep"))
+            .drop("component")
         )
         members = stored(_open(rest), "members")
-        leaders, number = leaders * LEADERS, number + 1
+        leaders *= LEADERS
     return confirmed
 
 
@@ -196,6 +236,8 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
     first = sets.join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"], "left_semi")
     buckets = first.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), F.col("n_shingles").alias("n"))
     members = stored(_open(buckets.withColumn("label", F.col("rep"))), "members")
+    sketches = first.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").distinct()
+    members = stored(_central(members).join(sketches, ["rep", "n"]), "members")
     met = members.select(F.col("rep").alias("id")).distinct()
     full = stored(texts.join(met, "id", "left_semi").mapInArrow(_shingle, "id BIGINT, shingles ARRAY<BIGINT>"), "sets")
     links = _links(members, full)
@@ -206,7 +248,7 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
     ties = sets.join(several, "id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     labels = components(ties if links is None else links.unionByName(ties)).withColumnRenamed("u", "rep")
     named = classes.join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("_least"))
-    whole = signed.drop("bands").withColumn("_in", F.col("n_shingles") > 0).join(named, ["d1", "d2"], "left")
+    whole = signed.drop("bands", "sketch").withColumn("_in", F.col("n_shingles") > 0).join(named, ["d1", "d2"], "left")
     component = F.when(F.col("_in") & F.col("id").isNotNull(), F.col("_least")).otherwise(F.col("id"))
     return whole.select(
         "id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
