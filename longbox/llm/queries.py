@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, decontaminate, neardup
+from longbox.llm import bpe, decontaminate, neardup, toxicity
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -18,13 +18,13 @@ q = suite.add
 BATCH_ROWS = "256"
 
 
-def _batched(t: Tables) -> Tables:
+def batched(t: Tables) -> Tables:
     t.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return t
 
 
 def _descriptions(t: Tables):
-    return _batched(t).documents.select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    return batched(t).documents.select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
 
 
 @q("op1_byte_level_bpe")
@@ -40,6 +40,21 @@ def _(t):
     )
 
 
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def labels(df):
+    """The ``labels`` table as the chain's categories, the first being poor quality."""
+    return df.select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+@q("op2_toxicity")
+def _(t):
+    issues = _descriptions(t)
+    chain = toxicity.fit(issues, labels(t.labels), CATEGORIES)
+    return toxicity.toxicity(issues, chain, "toxic").withColumnRenamed("id", "doc_id")
+
+
 @q("op5_minhash_near_duplicates")
 def _(t):
     return neardup.near_duplicates(_descriptions(t)).withColumnRenamed("id", "doc_id")
