@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, decontaminate, neardup, toxicity
+from longbox.llm import bpe, chat, decontaminate, neardup, toxicity
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -55,6 +55,32 @@ def _(t):
     return toxicity.toxicity(issues, chain, "toxic").withColumnRenamed("id", "doc_id")
 
 
+@q("op4_chat_formatting", """
+    WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    said AS (
+      SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+      FROM rows GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM said""")
+def _(t):
+    odd = t.spark.range(1).selectExpr(
+        "-1L AS conv_id", "inline(array(struct(0L AS turn, 'user' AS role), struct(1L, 'assistant')))", "'</s>[INST] ok [/INST]' AS text")
+    rows = t.conversations.select("conv_id", "turn", "role", "text").unionByName(odd)
+    formatted = chat.format_conversations(rows)
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    parts = chat.read_turns(formatted).select(
+        "conv_id", "part", F.size("turns").alias("n"), said.alias("said"), "masked", F.length("formatted").alias("chars"))
+    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    whole = parts.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("part", "said", "masked"))).alias("parts"))
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"), F.length(joined("masked")).cast("long").alias("loss_chars"),
+        F.sha2(joined("masked"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 @q("op5_minhash_near_duplicates")
 def _(t):
     return neardup.near_duplicates(_descriptions(t)).withColumnRenamed("id", "doc_id")
