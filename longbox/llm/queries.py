@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, chat, decontaminate, neardup, toxicity
+from longbox.llm import bpe, chat, decontaminate, neardup, toxicity, warc
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -86,6 +86,18 @@ def _(t):
     return neardup.near_duplicates(_descriptions(t)).withColumnRenamed("id", "doc_id")
 
 
+@q("op7_warc", """
+    WITH said AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    kept AS (SELECT payload, max(page_id) AS stored FROM said WHERE octet_length(payload) >= 1000 GROUP BY payload HAVING count(*) > 1)
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+      CASE WHEN stored IS NULL OR stored = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN stored <> page_id THEN stored END AS refers_to
+    FROM said LEFT JOIN kept USING (payload)""")
+def _(t):
+    archives = warc.write_archives(batched(t).pages.select("page_id", "url", "html"), "2024-01-01T00:00:00Z")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @q("op10_benchmark_decontamination")
 def _(t):
     found = decontaminate.contamination(_descriptions(t), t.benchmark)
