@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,12 +127,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Memo:
+    """Packed ids of pre-tokens met before, in two generations of about ``MEMO``.
+
+    When the recent one is full it becomes the earlier one; pre-tokens met again
+    move back. So frequent ones stay, the size is bounded, and no result changes.
+    """
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+
+    def packed(self, words: list[str], ids_of: Callable[[list[str]], Iterable[list[int]]]) -> bytes:
+        """Ids of all ``words`` as 32-bit integers; ``ids_of`` gives those of new ones."""
+        if len(self.recent) > MEMO:
+            self.recent, self.earlier = {}, self.recent
+        new = set(words).difference(self.recent)
+        known = new.intersection(self.earlier)
+        self.recent.update((word, self.earlier[word]) for word in known)
+        new = list(new - known)
+        self.recent.update((word, np.array(ids, "<i4").tobytes()) for word, ids in zip(new, ids_of(new)))
+        return b"".join(map(self.recent.__getitem__, words))
+
+
 class Vocabulary:
     """Ranks, their perfect hash and the split pattern, as sent to the executors.
 
     Its size is that of the vocabulary file, whatever the input; the memo is
-    filled per worker in two generations of about ``MEMO`` pre-tokens, so that
-    frequent ones stay when it is full, and changes no result.
+    filled per worker.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -152,34 +175,24 @@ class Vocabulary:
 
     def _start(self):
         self.split = regex.compile(self.pattern).findall
-        self.memo: dict[str, bytes] = {}
-        self.earlier: dict[str, bytes] = {}
+        self.memo = Memo()
         self.tokens = {rank: token for token, rank in self.ranks.items()}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "earlier", "tokens")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "tokens")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._start()
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of all ``words``, as packed 32-bit integers, into the memo."""
-        if len(self.memo) > MEMO:
-            self.memo, self.earlier = {}, self.memo
-        new = set(words).difference(self.memo)
-        known = new.intersection(self.earlier)
-        self.memo.update((word, self.earlier[word]) for word in known)
-        new = np.array(list(new - known), dtype=object)
-        for word, rank in zip(new, self.whole.lookup(new).tolist()):
-            ids = [rank] if rank >= 0 else merge(word.encode(), self.ranks)
-            self.memo[word] = np.array(ids, np.int32).tobytes()
+    def _ids(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of distinct pre-tokens: whole tokens by the hash, others merged."""
+        for word, rank in zip(words, self.whole.lookup(np.array(words, dtype=object)).tolist()):
+            yield [rank] if rank >= 0 else merge(word.encode(), self.ranks)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit integers."""
-        words = self.split(text)
-        self._learn(words)
-        return b"".join(map(self.memo.__getitem__, words))
+        return self.memo.packed(self.split(text), self._ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, chat, decontaminate, neardup, toxicity, warc
+from longbox.llm import bpe, chat, decontaminate, neardup, tokenfiles, toxicity, warc
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -86,6 +86,18 @@ def _(t):
     return neardup.near_duplicates(_descriptions(t)).withColumnRenamed("id", "doc_id")
 
 
+@q("op6_token_files")
+def _(t):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    files = tokenfiles.write_token_files(_descriptions(t), path, public_tokenizers.PATTERN, end_id=2)
+    return tokenfiles.read_token_files(files).select(
+        F.col("id").alias("doc_id"),
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 @q("op7_warc", """
     WITH said AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
     kept AS (SELECT payload, max(page_id) AS stored FROM said WHERE octet_length(payload) >= 1000 GROUP BY payload HAVING count(*) > 1)

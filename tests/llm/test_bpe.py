@@ -60,4 +60,4 @@ def test_the_memo_is_bounded(words, library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
     for text in ["some words fill it", "other words fill it again", "some words fill it"]:
         assert ids(words.encode(text)) == library.encode_ordinary(text)
-    assert len(words.memo) <= 5 + 5 and len(words.earlier) <= 5 + 5
+    assert len(words.memo.recent) <= 5 + 5 and len(words.memo.earlier) <= 5 + 5
