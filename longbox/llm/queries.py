@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, chat, decontaminate, neardup, tokenfiles, toxicity, warc
+from longbox.llm import bpe, chat, decontaminate, neardup, tokenfiles, toxicity, urls, warc
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -110,6 +110,18 @@ def _(t):
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+RULES = [("net/", urls.BLOCK), ("example.net/en/", urls.ALLOW), ("example.com/de/", urls.BLOCK), ("org/fr/", urls.ALLOW)]
+
+
+@q("op8_url_filters")
+def _(t):
+    # A page is labelled by the row of labels with its number.
+    labelled = t.labels.groupBy("doc_id").agg(F.max(F.greatest(1 - F.col("quality"), F.col("toxic"))).alias("bad"))
+    pages = t.pages.select("page_id", "url").join(labelled, F.col("page_id") == F.col("doc_id"), "left")
+    judged = urls.judge(pages.select(F.col("page_id").alias("url_hash"), "url", "bad"), RULES)
+    return judged.withColumnRenamed("url_hash", "page_id")
+
+
 @q("op10_benchmark_decontamination")
 def _(t):
     found = decontaminate.contamination(_descriptions(t), t.benchmark)
