@@ -41,10 +41,10 @@ SEED = 20
 PLACES = 8192
 # Leaders of a bucket grow by this factor from round to round.
 LEADERS = 4
-# Two low bits of each coordinate, in words of 64 bits, tell hopeless pairs: at
-# the threshold more than 50 of 128 differ less than once in 10**7.
-SKETCH = 4
-DIFFERENT = 50
+# Four low bits of each of 512 coordinates, 16 in a word of 64 bits, tell hopeless
+# pairs: at the threshold more than 165 differ less than once in 300 000.
+SKETCH = 32
+DIFFERENT = 165
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -92,7 +92,7 @@ class Circulant:
         draw = np.random.default_rng(SEED)
         self.place = draw.permutation(UNIVERSE).astype(np.int32)
         rank = draw.permutation(UNIVERSE).astype(np.int32)
-        length = BANDS * ROWS
+        length = SKETCH * 16
         self.ranks = sliding_window_view(np.concatenate([rank, rank[: length - 1]]), length)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ class Circulant:
 
     def bands(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit bucket number a band."""
-        rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
+        rows = signature[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
         bucket = np.arange(1, BANDS + 1, dtype=np.uint64)
         for i in range(ROWS):
             bucket = _mix(bucket) + rows[:, i]
@@ -115,9 +115,9 @@ SIGNED = "id BIGINT, n_shingles BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
-    """The two low bits of all coordinates, packed."""
-    bits = (signature.reshape(SKETCH, -1) & 3).astype(np.uint64)
-    return (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    """The four low bits of all coordinates, packed."""
+    bits = (signature.reshape(SKETCH, -1) & 15).astype(np.uint64)
+    return (bits << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _differences(a: str, b: str) -> Column:
@@ -125,7 +125,8 @@ def _differences(a: str, b: str) -> Column:
     total = F.lit(0)
     for i in range(SKETCH):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        pairs = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        either = pairs.bitwiseOR(F.shiftrightunsigned(pairs, 2)).bitwiseAND(F.lit(0x1111111111111111))
         total = total + F.bit_count(either)
     return total
 
@@ -179,24 +180,27 @@ def _central(members: DataFrame) -> DataFrame:
     return members.join(weights, "rep")
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _links(members: DataFrame, sets: DataFrame, details: DataFrame) -> DataFrame | None:
     """Confirmed links (u, v) between the ``members`` of open buckets.
 
-    ``members``: bucket, rep, n, sketch, weight, label. Each round compares some
-    members of a bucket, the leaders, with all its others; those then leave it.
-    The rounds end when no bucket holds two components any more, so that every
-    pair has met or is linked otherwise. Central members lead first: they link
-    most of a group at once, and who is linked need not be compared again.
+    ``members``: bucket, rep, n, weight, label; ``details``: rep, n, sketch and
+    bands. Each round compares some members of a bucket, the leaders, with all
+    its others; those then leave it. The rounds end when no bucket holds two
+    components any more, so that every pair has met or is linked otherwise.
+    Central members lead first: they link most of a group at once, and who is
+    linked need not be compared again. From the second round on a pair meets in
+    its first common bucket only, and if its sketches leave it hope.
     """
     confirmed, leaders = None, 1
+    known = ["rep", "n", "label"]
     while not members.isEmpty():
         chosen = top_per_group(members, ["bucket"], [F.desc("weight"), F.col("rep")], leaders)
-        chosen = stored(chosen.selectExpr("bucket", "rep AS u", "n AS _n", "sketch AS _sketch", "label AS _label"), "leaders")
-        hopeful = (
-            (F.col("label") != F.col("_label"))
-            & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
-            & (_differences("sketch", "_sketch") <= DIFFERENT)
-        )
+        chosen = chosen.select("bucket", *[F.col(c).alias(f"_{c}") for c in known])
+        chosen = stored(chosen.withColumn("u", F.col("_rep")), "leaders")
+        hopeful = (F.col("label") != F.col("_label")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
+        if leaders > 1:
+            first = F.array_min(F.array_intersect("bands", "_bands")) == F.col("bucket")
+            hopeful = hopeful & (_differences("sketch", "_sketch") <= DIFFERENT) & first
         pairs = (
             members.join(chosen, "bucket")
             .filter(hopeful)
@@ -207,13 +211,16 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         confirmed = stored(found if confirmed is None else confirmed.unionByName(found), "links")
         labels = components(confirmed).withColumnRenamed("u", "rep")
         rest = (
-            members.join(chosen.withColumnRenamed("u", "rep"), ["bucket", "rep"], "left_anti")
+            members.join(chosen.select("bucket", F.col("u").alias("rep")), ["bucket", "rep"], "left_anti")
             .drop("label")
             .join(labels, "rep", "left")
             .withColumn("label", F.coalesce("component", "rep"))
             .drop("component")
         )
-        members = stored(_open(rest), "members")
+        rest = _open(rest)
+        if leaders == 1:
+            rest, known = rest.join(details, ["rep", "n"]), [*known, "sketch", "bands"]
+        members = stored(rest, "members")
         leaders *= LEADERS
     return confirmed
 
@@ -236,11 +243,11 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
     first = sets.join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"], "left_semi")
     buckets = first.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), F.col("n_shingles").alias("n"))
     members = stored(_open(buckets.withColumn("label", F.col("rep"))), "members")
-    sketches = first.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").distinct()
-    members = stored(_central(members).join(sketches, ["rep", "n"]), "members")
+    members = stored(_central(members), "members")
     met = members.select(F.col("rep").alias("id")).distinct()
     full = stored(texts.join(met, "id", "left_semi").mapInArrow(_shingle, "id BIGINT, shingles ARRAY<BIGINT>"), "sets")
-    links = _links(members, full)
+    details = first.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").distinct()
+    links = _links(members, full, details)
     # An id with several texts belongs to several classes and so ties them.
     several = sets.groupBy("id").agg(
         (F.min("d1") < F.max("d1")).alias("_d1"), (F.min("d2") < F.max("d2")).alias("_d2")
