@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, chat, decontaminate, neardup, tokenfiles, toxicity, urls, warc
+from longbox.llm import bpe, chat, decontaminate, neardup, neighbours, tokenfiles, toxicity, urls, warc
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -122,6 +122,13 @@ def _(t):
     return judged.withColumnRenamed("url_hash", "page_id")
 
 
+@q("op9_approximate_neighbours")
+def _(t):
+    rows = t.embeddings.select(F.col("vec_id").alias("kp_id"), F.col("embedding").alias("descriptor"))
+    found = neighbours.nearest(rows, rows.filter("kp_id % 20 = 0"), 20)
+    return found.withColumnRenamed("kp_id", "vec_id")
+
+
 @q("op10_benchmark_decontamination")
 def _(t):
     found = decontaminate.contamination(_descriptions(t), t.benchmark)

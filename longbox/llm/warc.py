@@ -113,7 +113,10 @@ class Reader:
             self.inflate, self.plain = zlib.decompressobj(31), bytearray()
             fields = self._head()
             block = self._take(int(fields["content-length"]))
-            if self._take(4) != b"\r\n\r\n" or self._more() or self.plain:
+            end = self._take(4)
+            while self._more():
+                pass
+            if end != b"\r\n\r\n" or self.plain:
                 raise ValueError("a record does not end where its length says")
             if _sha1(block) != fields["warc-block-digest"]:
                 raise ValueError(f"block digest of {fields['warc-record-id']} differs")
