@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -128,9 +129,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo:
-    """Packed ids of pre-tokens met before, in two generations of about ``MEMO``.
+    """Packed ids of strings met before, in two generations of about ``MEMO``.
 
-    When the recent one is full it becomes the earlier one; pre-tokens met again
+    When the recent one is full it becomes the earlier one; strings met again
     move back. So frequent ones stay, the size is bounded, and no result changes.
     """
 
@@ -138,23 +139,39 @@ class Memo:
         self.recent: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
-    def packed(self, words: list[str], ids_of: Callable[[list[str]], Iterable[list[int]]]) -> bytes:
-        """Ids of all ``words`` as 32-bit integers; ``ids_of`` gives those of new ones."""
+    def packed(self, strings: list[str], packed_of: Callable[[list[str]], Iterable[bytes]]) -> bytes:
+        """Ids of all ``strings``; ``packed_of`` gives those of new ones."""
         if len(self.recent) > MEMO:
             self.recent, self.earlier = {}, self.recent
-        new = set(words).difference(self.recent)
-        known = new.intersection(self.earlier)
-        self.recent.update((word, self.earlier[word]) for word in known)
-        new = list(new - known)
-        self.recent.update((word, np.array(ids, "<i4").tobytes()) for word, ids in zip(new, ids_of(new)))
-        return b"".join(map(self.recent.__getitem__, words))
+        new = set(strings).difference(self.recent)
+        if self.earlier:
+            self.recent.update((x, self.earlier[x]) for x in new if x in self.earlier)
+            new = new.difference(self.recent)
+        new = list(new)
+        self.recent.update(zip(new, packed_of(new)))
+        return b"".join(map(self.recent.__getitem__, strings))
+
+
+class Encoder:
+    """Packed ids of texts from the ids of their pre-tokens, each asked for once."""
+
+    def __init__(self, pattern: str, ids_of: Callable[[list[str]], Iterable[list[int]]]):
+        self.split = regex.compile(pattern).findall
+        self.ids_of, self.memo = ids_of, Memo()
+
+    def _packed(self, words: list[str]) -> Iterator[bytes]:
+        return (array("i", ids).tobytes() for ids in self.ids_of(words))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as packed 32-bit integers."""
+        return self.memo.packed(self.split(text), self._packed)
 
 
 class Vocabulary:
     """Ranks, their perfect hash and the split pattern, as sent to the executors.
 
-    Its size is that of the vocabulary file, whatever the input; the memo is
-    filled per worker.
+    Its size is that of the vocabulary file, whatever the input; memos are filled
+    per worker.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -174,12 +191,11 @@ class Vocabulary:
         self._start()
 
     def _start(self):
-        self.split = regex.compile(self.pattern).findall
-        self.memo = Memo()
+        self.encoder = Encoder(self.pattern, self._ids)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "tokens")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("encoder", "tokens")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -192,7 +208,7 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit integers."""
-        return self.memo.packed(self.split(text), self._ids)
+        return self.encoder.encode(text)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -31,9 +31,9 @@ from longbox.plans.scale import top_per_group
 
 DIRECTIONS = 8
 SEED = 9
-LEAF = 64
+LEAF = 512
 # Points of a shard, and queries that search it in one task.
-SHARD, QUERIES = 16_384, 1_024
+SHARD, QUERIES = 65_536, 512
 # A better point is missed by one search with at most this probability.
 MISSED = 0.02
 

@@ -55,19 +55,29 @@ def _(t):
     return toxicity.toxicity(issues, chain, "toxic").withColumnRenamed("id", "doc_id")
 
 
-@q("op4_chat_formatting", """
+CONTROL = r"</?s>|\[/?INST\]|\[ROLE\]|\[:\]"
+
+
+@q("op4_chat_formatting", rf"""
     WITH rows AS (
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    marked AS (
+      SELECT *, len(regexp_extract_all(text, '{CONTROL}')) AS marks,
+        CASE role WHEN 'user' THEN 6 WHEN 'assistant' THEN 7 ELSE 9 + length(role) END + length(text) + 4 AS plain
+      FROM rows),
     said AS (
       SELECT conv_id, count(*) AS n_turns,
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
-      FROM rows GROUP BY conv_id)
-    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM said""")
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(plain + CASE WHEN regexp_matches(text, '(?s)\\.') THEN marks + length(text) - length(replace(text, chr(92), ''))
+          WHEN contains(text, '</s>') THEN marks ELSE 0 END) AS chars
+      FROM marked GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+      CAST(chars AS BIGINT) AS formatted_chars FROM said""")
 def _(t):
     odd = t.spark.range(1).selectExpr(
-        "-1L AS conv_id", "inline(array(struct(0L AS turn, 'user' AS role), struct(1L, 'assistant')))", "'</s>[INST] ok [/INST]' AS text")
+        "-1L AS conv_id", "inline(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role)))", "'</s>[INST] ok [/INST]' AS text")
     rows = t.conversations.select("conv_id", "turn", "role", "text").unionByName(odd)
     formatted = chat.format_conversations(rows)
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

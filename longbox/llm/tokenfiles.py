@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from longbox.llm.bpe import Memo
+from longbox.llm.bpe import Encoder
 from longbox.llm.storage import one_task_each, open_input, open_output, stored, task_name
 from longbox.sources.tables import shared_folder
 
@@ -125,10 +125,9 @@ class Library:
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(pattern).findall
         added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(added)).search if added else lambda text: None
-        self.memo = Memo()
+        self.encoder = Encoder(pattern, self._ids)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in words]
@@ -141,7 +140,7 @@ class Library:
     def encode(self, text: str) -> bytes:
         if self.added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-        return self.memo.packed(self.split(text), self._ids)
+        return self.encoder.encode(text)
 
 
 def write_token_files(issues: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:

@@ -56,8 +56,16 @@ def test_edge_rows(spark, library):
     assert bpe.encode_descriptions(issues.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet="a'sé1. \n\t\u00a0\x1c", max_size=30))
+def test_white_space_of_all_kinds(words, library, text):
+    assert ids(words.encode(text)) == library.encode_ordinary(text)
+
+
 def test_the_memo_is_bounded(words, library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
+    words.encoder = bpe.Encoder(words.pattern, words._ids)
     for text in ["some words fill it", "other words fill it again", "some words fill it"]:
         assert ids(words.encode(text)) == library.encode_ordinary(text)
-    assert len(words.memo.recent) <= 5 + 5 and len(words.memo.earlier) <= 5 + 5
+    memo = words.encoder.memo
+    assert len(memo.recent) <= 5 + 5 and len(memo.earlier) <= 5 + 5
