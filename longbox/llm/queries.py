@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, chat, decontaminate, neardup, neighbours, tokenfiles, toxicity, urls, warc
+from longbox.llm import bpe, chat, decontaminate, extraction, neardup, neighbours, tokenfiles, toxicity, urls, warc
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -55,6 +55,13 @@ def _(t):
     return toxicity.toxicity(issues, chain, "toxic").withColumnRenamed("id", "doc_id")
 
 
+@q("op3_html_extraction")
+def _(t):
+    pages = batched(t).pages.select("page_id", "url", "html")
+    found = extraction.extract(pages, extraction.learn(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 CONTROL = r"</?s>|\[/?INST\]|\[ROLE\]|\[:\]"
 
 
