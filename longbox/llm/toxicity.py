@@ -26,12 +26,12 @@ from longbox.llm.storage import stored
 SAMPLE = 8_000
 FOLDS = 3
 # Terms known to the models: the most frequent that several descriptions share.
-TERMS, SHARED_BY = 50_000, 5
+TERMS, SHARED_BY = 20_000, 5
 BEGINNINGS = (4, 5)
 # A category's model looks at terms that depend on the label at this level.
 LEVEL = 0.0001
 PENALTY = 0.001
-ITERATIONS = 30
+ITERATIONS = 20
 LIMIT = 0.5
 
 
