@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from longbox.functions.text import capitalised
+
 # Stage names and their labels.
 STAGE_LABELS = {
     "processing_data": "Processing Data",
@@ -30,7 +32,7 @@ def stage_label(stage: Column) -> Column:
     known = F.lit(None).cast("string")
     for name, label in STAGE_LABELS.items():
         known = F.when(stage == name, label).otherwise(known)
-    other = F.when(stage != "", F.initcap(F.lower(F.replace(stage, F.lit("_"), F.lit(" ")))))
+    other = F.when(stage != "", capitalised(F.lower(F.replace(stage, F.lit("_"), F.lit(" "))), r"(?<!\p{L})(?=\p{L})"))
     return F.coalesce(known, other)
 
 

@@ -154,11 +154,16 @@ def id_from_url(column: Column) -> Column:
     return F.try_element_at(parts, F.lit(-2)).try_cast("bigint")
 
 
+def capitalised(column: Column, start: str) -> Column:
+    """Upper case after every zero-width match of ``start``."""
+    return F.array_join(F.transform(F.split(column, start), lambda part: F.concat(F.upper(F.substring(part, 1, 1)), F.substr(part, F.lit(2)))), "")
+
+
 def state_label(column: Column) -> Column:
     for pattern in (r"(?i)\(Displayname=([^)]+)\)", r"(?i)\(Value=([^)]+)\)", r"\.([^.]+)$"):
         column = F.when(column.rlike(pattern), F.regexp_extract(column, pattern, 1)).otherwise(column)
     bare = strip_edges(F.regexp_replace(column, r"\([^)]*\)", ""))
-    return F.initcap(F.lower(F.replace(bare, F.lit("_"), F.lit(" "))))
+    return capitalised(F.lower(F.replace(bare, F.lit("_"), F.lit(" "))), r"(?<!\w)(?=\w)")
 
 
 def name_year(column: Column) -> Column:

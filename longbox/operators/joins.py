@@ -59,7 +59,7 @@ def match_gcd_series(catalogue: DataFrame, gcd: DataFrame, like: bool = False) -
     columns = [*[catalogue[c] for c in catalogue.columns], "gcd_id", "candidates"]
     if not like:
         return joined.select(*columns)
-    wild = F.col("name").rlike("[%_]")
+    wild = F.coalesce(F.col("name").rlike("[%_]"), F.lit(False))
     exact = joined.filter(~wild).select(*catalogue.columns, "gcd_id", "candidates")
     patterns = catalogue.filter(wild)
     # One row per distinct pattern key meets the dump, then fans back out.

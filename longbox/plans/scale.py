@@ -111,16 +111,3 @@ def order_by(df: DataFrame, *keys: Column) -> DataFrame:
     names = [f"_key{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys)))
     return keyed.orderBy(*names).drop(*names)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan too small to keep every core busy, dealt out evenly.
-
-    For heavy work per row on few or unsplittable files. A scan that fills the
-    cluster by itself comes back unchanged, without any shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    per_task = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
-    return df if size >= cores * per_task else df.repartition(cores)

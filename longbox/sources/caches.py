@@ -39,8 +39,12 @@ def select_preset(presets: DataFrame, environment: str | None, configured: str |
 
 
 def retain_cache(images: DataFrame, features: DataFrame, as_of: str, days: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(images, features) without images unused for ``days`` and their features."""
-    kept = retain(images, "last_accessed", as_of, days)
+    """(images, features) without images unused for ``days`` and their features.
+
+    Images whose last use is unknown stay.
+    """
+    known = retain(images, "last_accessed", as_of, days)
+    kept = known.unionByName(images.filter(F.col("last_accessed").isNull()))
     gone = images.join(kept.select("url_hash"), "url_hash", "left_anti").select("url_hash")
     return kept, features.join(gone, "url_hash", "left_anti")
 

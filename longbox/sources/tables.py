@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import re
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -74,11 +75,20 @@ class JdbcStore:
         return self.spark.read.format("jdbc").option("url", self.url).options(**self.options).option("dbtable", query)
 
     def has(self, table: str) -> bool:
+        """Whether the database lists the table; anything that goes wrong is raised."""
+        jvm = self.spark.sparkContext._jvm
+        properties = jvm.java.util.Properties()
+        for key, value in self.options.items():
+            properties.setProperty(key, value)
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, properties)
         try:
-            self._reader(f"(SELECT * FROM {table} WHERE 1 = 0) t").load()
-        except Exception:  # the driver's own "no such table" error
-            return False
-        return True
+            names = connection.getMetaData().getTables(None, None, "%", None)
+            found = False
+            while not found and names.next():
+                found = names.getString("TABLE_NAME").lower() == table.split(".")[-1].lower()
+            return found
+        finally:
+            connection.close()
 
     def read(self, table: str) -> DataFrame:
         reader = self._reader(table)
@@ -156,13 +166,12 @@ DECLARED_TYPES = {
     "datetime": ("TIMESTAMP", "timestamp_ntz"),
     "decimal(10,3)": ("DECIMAL(10,3)", "decimal(10,3)"),
 }
-# The lengths of declared text columns that are kept.
-VARCHAR_LENGTHS = (255, 50, 32, 38, 13, 10)
-DECLARED_TYPES |= {f"varchar({n})": (f"VARCHAR({n})", "string") for n in VARCHAR_LENGTHS}
 
 
 def declared_type(name: str) -> tuple[str, str]:
     """(target type, Spark type) of a declared type; unknown ones are TEXT."""
+    if re.fullmatch(r"varchar\(\d+\)", name.lower()):
+        return name.upper(), "string"
     return DECLARED_TYPES.get(name.lower(), ("TEXT", "string"))
 
 

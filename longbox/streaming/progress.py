@@ -185,7 +185,7 @@ def status(live: DataFrame, memory: DataFrame, stored: DataFrame, ids: DataFrame
 MIN_GAP_US = 200_000
 MIN_JUMP = 3
 FREE_UPDATES = 5
-IMAGE_WORDS = r"Image |image |Processing|Completed|Failed"
+IMAGE_WORDS = ["Image ", "image ", "Processing", "Completed", "Failed"]
 
 
 def important(stage: Column, progress: Column) -> Column:
@@ -213,7 +213,7 @@ def throttle(events: DataFrame) -> DataFrame:
     sure = (
         F.col("_prev").isNull()
         | important(F.col("stage"), F.col("progress"))
-        | F.coalesce(F.col("message").rlike(IMAGE_WORDS), F.lit(False))
+        | F.coalesce(F.col("message").rlike("|".join(IMAGE_WORDS)), F.lit(False))
         | ~F.col("stage").eqNullSafe(F.col("_prev.stage"))
         | (gap >= MIN_GAP_US)
     )
@@ -263,33 +263,32 @@ def _throttle_state(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         return
     sent_at, value, stage, count = state.get if state.exists else (None, None, None, 0)
-    for batch in batches:
-        batch = batch.sort_values(["ts", "event_id"])
-        at = _micros(batch["ts"])
-        keep = []
-        for now, row in zip(at, batch.itertuples(index=False)):
-            name = row.stage or ""
-            passes = (
-                count < FREE_UPDATES
-                or "completed" in name.lower()
-                or name == "error"
-                or row.progress >= 100
-                or name != stage
-                or abs(row.progress - value) >= MIN_JUMP
-                or now - sent_at >= MIN_GAP_US
-                or any(word in (row.message or "") for word in IMAGE_WORDS.split("|"))
-            )
-            keep.append(passes)
-            if passes:
-                sent_at, value, stage, count = int(now), int(row.progress), name, count + 1
-        yield batch[keep][EVENT_COLUMNS]
+    # Arrow cuts a trigger's rows of a session anywhere, so they are put in order as a whole.
+    rows = pd.concat(batches, ignore_index=True).sort_values(["ts", "event_id"])
+    keep = []
+    for now, row in zip(_micros(rows["ts"]), rows.itertuples(index=False)):
+        name = row.stage or ""
+        passes = (
+            count < FREE_UPDATES
+            or "completed" in name.lower()
+            or name == "error"
+            or row.progress >= 100
+            or name != stage
+            or abs(row.progress - value) >= MIN_JUMP
+            or now - sent_at >= MIN_GAP_US
+            or any(word in (row.message or "") for word in IMAGE_WORDS)
+        )
+        keep.append(passes)
+        if passes:
+            sent_at, value, stage, count = int(now), int(row.progress), name, count + 1
+    yield rows[keep][EVENT_COLUMNS]
     state.update((sent_at, value, stage, count))
     state.setTimeoutDuration(TTL_MS)
 
 
 def throttle_stream(events: DataFrame) -> DataFrame:
     """The rate limit on a stream. A session is one sequence by nature, walked
-    in arrival batches with a four-field state."""
+    in order of time within each trigger, with a four-field state."""
     return events.select(*EVENT_COLUMNS).groupBy("session_id").applyInPandasWithState(
         _throttle_state, EVENT, "sent_at BIGINT, value INT, stage STRING, n INT", "append",
         GroupStateTimeout.ProcessingTimeTimeout,

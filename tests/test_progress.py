@@ -108,3 +108,23 @@ def test_streams_keep_state_over_triggers(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     out = [(r["rank"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(out) == [(1, 3), (1, 5), (1, 6), (2, 2), (2, 4), (2, 5)]
+
+
+def test_throttle_stream_does_not_depend_on_arrow_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    events = spark.createDataFrame(
+        [("s", i, 5 if i % 9 else 9, "waiting", "comparing") for i in range(300)],
+        "session_id STRING, event_id BIGINT, progress INT, message STRING, stage STRING",
+    ).selectExpr(
+        "session_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, CAST(event_id AS DECIMAL(18, 6)) * 0.03) AS ts",
+        "event_id", "stage", "progress", "message", "'PROCESSING' AS type", "CAST(NULL AS STRING) AS error")
+    wanted = sorted(r["event_id"] for r in op.throttle(events).collect())
+    events.orderBy(F.desc("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    stream = op.throttle_stream(own.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
+    assert sorted(r["event_id"] for r in own.table("throttled").collect()) == wanted and 5 < len(wanted) < 300
