@@ -59,9 +59,7 @@ def snapshot_merge(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def _checked_requests(requests: DataFrame, series: DataFrame) -> DataFrame:
     """Fails the job when rows name several series, or one that is unknown."""
     several = total(requests, F.count_distinct("series_id"))
-    known = total(
-        series.join(requests.select(F.col("series_id").alias("id")), "id", "left_semi"), F.count("*")
-    )
+    known = total(series.filter(F.col("id") == total(requests, F.max("series_id"))), F.count("*"))
     return requests.filter(
         F.when(several > 1, F.raise_error(F.lit("All issues must belong to the same series")).cast("boolean"))
         .when(known == 0, F.raise_error(F.lit("Series not found")).cast("boolean"))
@@ -73,8 +71,9 @@ def insert_issues(
     requests: DataFrame, issues: DataFrame, series: DataFrame, missing: DataFrame, hashes: DataFrame
 ) -> dict[str, DataFrame]:
     """Bulk insert of one series' issues: the new issues, series and missing tables."""
-    names = series.select(F.col("id").alias("series_id"), F.col("name").alias("_series"))
-    rows = _checked_requests(requests, series).join(names, "series_id")
+    # All rows name one series, so it is a value and not a key to join on.
+    name = total(series.filter(F.col("id") == total(requests, F.max("series_id"))), F.max("name"))
+    rows = _checked_requests(requests, series).withColumn("_series", name)
     rows = rows.withColumn(
         "title", default_title(F.col("title"), F.col("_series"), F.col("issue_number"))
     ).drop("_series")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the plans rely on. AQE splits skewed join partitions and coalesces
 # small ones. Nothing is broadcast by hand in this package: Spark does so only
@@ -41,19 +39,3 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     """The shared folder named by the cluster; ``fallback`` only where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named or fallback
-
-
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
-
-    Executors may be lost at any time, so the data goes to the shared folder
-    and never to local blocks. Without any folder the plan is returned as is.
-    """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark, fallback)
-    if folder is None:
-        return df
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(folder, "longbox"))
-    return df.checkpoint(eager=True)

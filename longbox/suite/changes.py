@@ -44,10 +44,9 @@ def _(t):
     UNION ALL SELECT 'series', id, CAST(issues_owned_count + CASE WHEN id = 9 THEN (SELECT count(*) FROM r) ELSE 0 END AS VARCHAR) FROM series_owned
     UNION ALL SELECT 'missing', m.id, CAST(m.is_resolved OR (series_id = 9 AND comic_vine_id IN (SELECT '9-' || n FROM r)) AS VARCHAR) FROM missing_issues m""")
 def _(t):
-    # Every line row is requested once more, all of them for series 9 (not as
-    # a literal, which the optimizer would turn into a join without keys).
+    # Every line row is requested once more, all of them for series 9.
     requests = t.lineitem.selectExpr(
-        "l_orderkey * 8 + l_linenumber + 100000000 AS id", "9 + l_partkey - l_partkey AS series_id", "CAST(l_linenumber AS STRING) AS issue_number",
+        "l_orderkey * 8 + l_linenumber + 100000000 AS id", "9L AS series_id", "CAST(l_linenumber AS STRING) AS issue_number",
         "CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'Given' END AS title", "concat('9-', l_linenumber) AS comic_vine_id",
         "concat('new/', l_orderkey) AS uploaded_image_url", "md5('x') AS content_hash")
     hashes = t.lineitem.selectExpr("concat(l_suppkey, '/', l_orderkey, '.jpg') AS uploaded_image_url", "md5('y') AS content_hash")
