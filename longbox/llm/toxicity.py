@@ -103,7 +103,7 @@ class Chain:
         """
         out = df.select(F.struct("*").alias("row"), terms(F.col(text)).alias("_terms"))
         if self.vocabulary is not None:
-            out = self.vocabulary.transform(out)
+            out = _featured(out, self.vocabulary)
         for link in self.links:
             out = link.apply(out, f"p_{link.category}")
         return out.select("row", *[f"p_{c}" for c in self.categories])
@@ -126,8 +126,8 @@ def fit(issues: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     sample = stored(sample.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS))), "labelled")
     vocabulary = _vocabulary(sample)
     if vocabulary is not None:
-        sample = vocabulary.transform(sample)
-    sample = stored(sample.drop("_terms", "_counts", "_once", "_often"), "labelled")
+        sample = _featured(sample, vocabulary)
+    sample = stored(sample.drop("_terms"), "labelled")
     links, earlier = [], []
     for category in categories:
         links.append(_fit(sample, category, earlier))
@@ -141,6 +141,12 @@ def fit(issues: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     return Chain(vocabulary, links)
 
 
+def _featured(df: DataFrame, vocabulary: PipelineModel) -> DataFrame:
+    """``df`` with column _features, without a description of each of its thousands of parts."""
+    out = vocabulary.transform(df).drop("_counts", "_once", "_often")
+    return out.withMetadata("_features", {"ml_attr": {"num_attrs": 2 * len(vocabulary.stages[0].vocabulary)}})
+
+
 def _vocabulary(sample: DataFrame) -> PipelineModel | None:
     """Terms to vectors that say what occurs, and what more than once; None without shared terms."""
     shared = sample.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").count()
