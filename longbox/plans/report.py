@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longbox.operators import aggregates as agg
 from longbox.operators import ranking
+from longbox.sources.tables import shared_folder
 
 
 def _cells(section: str, df: DataFrame, key: str | None = None) -> DataFrame:
@@ -21,16 +21,23 @@ def _cells(section: str, df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written once below the shared folder and read back."""
+    folder = shared_folder(df.sparkSession, "facts")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def collection_report(tables: Mapping[str, DataFrame], as_of: str) -> DataFrame:
     """All statistics sections.
 
     The issues are the large table: they are read once into facts per (series,
-    condition, month), which are kept for the sections made from them, and
-    once more for the newest issues. Lost cached parts are computed again.
+    condition, month), which are written to the shared folder for the sections
+    made from them, and once more for the newest issues.
     """
     series, issues, missing = tables["series"], tables["issues"], tables["missing_issues"]
     progress, files, syncs = tables["progress"], tables["files"], tables["syncs"]
-    facts = agg.issue_facts(issues, ["series_id", "condition", agg.first_day()]).persist(StorageLevel.MEMORY_AND_DISK)
+    facts = _written(agg.issue_facts(issues, ["series_id", "condition", agg.first_day()]))
 
     def counts(key: str, name: str) -> DataFrame:
         return facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias(name))
