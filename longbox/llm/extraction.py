@@ -152,12 +152,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
-    """Cost of each kind of tag, from those of ``pages`` (html) with an article or main element.
+    """Cost of each kind of tag, from those of ``pages`` with an article or main element.
 
-    At most ``SAMPLE`` of them are read and ``KINDS`` kinds kept; a kind not met
+    ``pages``: page_id, url, html. ``SAMPLE`` of them are read (rows of equal id
+    and url together) and ``KINDS`` kinds kept; a kind not met
     has the cost of the prior: none for what text is made of, full for others.
     """
-    labelled = pages.select("html").filter(F.rlike("html", F.lit(r"(?i)<(article|main)[\s>]"))).orderBy(F.xxhash64("html")).limit(SAMPLE)
+    labelled = pages.select(F.xxhash64("page_id", "url").alias("_order"), "html").filter(F.rlike("html", F.lit(r"(?i)<(article|main)[\s>]")))
+    # Only hashes are put in order; the pages below the last one stay where they are.
+    last = labelled.select("_order").orderBy("_order").limit(SAMPLE).agg(F.max("_order")).first()[0]
+    labelled = labelled.filter(F.col("_order") <= F.lit(last)).select("html")
     counts = labelled.mapInArrow(_count, "tag STRING, inside BIGINT, n BIGINT").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "tag").limit(KINDS).collect()
     return {r["tag"]: _cost(r["tag"], r["inside"], r["n"]) for r in rows}
