@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from statistics import NormalDist
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Binarizer, CountVectorizer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import Binarizer, CountVectorizerModel, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,13 @@ from longbox.llm.storage import stored
 # Labelled descriptions that a chain is fitted on, at most: those of least hash.
 SAMPLE = 8_000
 FOLDS = 3
-# Terms known to the models: the most frequent that several descriptions share.
-TERMS, SHARED_BY = 20_000, 5
+# Terms known to the models, at most: of those that several descriptions share, the ones a label depends on most.
+TERMS, SHARED_BY = 50_000, 5
 BEGINNINGS = (4, 5)
 # A category's model looks at terms that depend on the label at this level.
 LEVEL = 0.0001
 PENALTY = 0.001
-ITERATIONS = 20
+ITERATIONS = 30
 LIMIT = 0.5
 
 
@@ -124,7 +125,7 @@ def fit(issues: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     sample = issues.select("id", "description").join(F.broadcast(chosen), "id")
     sample = sample.select("id", terms(F.col("description")).alias("_terms"), *categories)
     sample = stored(sample.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS))), "labelled")
-    vocabulary = _vocabulary(sample)
+    vocabulary = _vocabulary(sample, categories)
     if vocabulary is not None:
         sample = _featured(sample, vocabulary)
     sample = stored(sample.drop("_terms"), "labelled")
@@ -147,18 +148,55 @@ def _featured(df: DataFrame, vocabulary: PipelineModel) -> DataFrame:
     return out.withMetadata("_features", {"ml_attr": {"num_attrs": 2 * len(vocabulary.stages[0].vocabulary)}})
 
 
-def _vocabulary(sample: DataFrame) -> PipelineModel | None:
-    """Terms to vectors that say what occurs, and what more than once; None without shared terms."""
-    shared = sample.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").count()
-    if shared.filter(F.col("count") >= SHARED_BY).isEmpty():
+def _dependence(n: dict[str, int], held: Column, held_positive: Column) -> Column:
+    """Chi-square statistic of a term and a label; ``n``: rows by label, ``held``: those with the term."""
+    every, positive = n["n"], n["positive"]
+    gap = held_positive * float(every) - held * float(positive)
+    under = held * (every - held) * (float(positive) * (every - positive))
+    return F.coalesce(F.try_divide(gap * gap * float(every), under), F.lit(0.0))
+
+
+def _telling(sample: DataFrame, categories: list[str]) -> DataFrame:
+    """(term, dependence) of the shared terms that some model may choose at ``LEVEL``.
+
+    Each model chooses among the terms by its own rows: all that have the label,
+    or those outside a fold. A term is given if it passes for any of these row
+    sets, by occurring or by occurring again, so the models lose none.
+    """
+    numbered = sample.withColumn("_row", F.monotonically_increasing_id())
+    within = numbered.select("_row", "_fold", *categories, F.explode("_terms").alias("term")).groupBy("_row", "_fold", *categories, "term").count()
+    often = F.sum((F.col("count") > 1).cast("double")).alias("_often")
+    kinds = within.groupBy("term", "_fold", *categories).agg(F.count("*").cast("double").alias("_once"), often)
+    row_sets = {"all": F.lit(True)} | {f"but{f}": F.col("_fold") != f for f in range(FOLDS)}
+    totals, sums, tests = [], [], []
+    for c in categories:
+        for name, own in row_sets.items():
+            key, known, positive = f"{c}_{name}", own & F.col(c).isNotNull(), own & (F.col(c) == 1)
+            totals += [F.count(F.when(known, 1)).alias(f"{key}_n"), F.count(F.when(positive, 1)).alias(f"{key}_positive")]
+            for kind in ("_once", "_often"):
+                sums += [F.sum(F.when(rows, F.col(kind)).otherwise(0.0)).alias(f"{key}{kind}{end}") for rows, end in ((known, ""), (positive, "_positive"))]
+                tests.append((key, f"{key}{kind}"))
+    n = sample.agg(*totals).first()
+    counts = kinds.groupBy("term").agg(F.sum("_once").alias("_descriptions"), *sums)
+    found = [_dependence({"n": n[f"{key}_n"], "positive": n[f"{key}_positive"]}, F.col(f"`{held}`"), F.col(f"`{held}_positive`")) for key, held in tests]
+    # With one degree of freedom, the statistic at LEVEL is a squared normal quantile; the models decide close calls.
+    least = 0.999 * NormalDist().inv_cdf(1 - LEVEL / 2) ** 2
+    scored = counts.filter(F.col("_descriptions") >= SHARED_BY).select("term", F.array_max(F.array(*found)).alias("dependence"))
+    return scored.filter(F.col("dependence") >= least)
+
+
+def _vocabulary(sample: DataFrame, categories: list[str]) -> PipelineModel | None:
+    """Terms to vectors that say what occurs, and what more than once; None if no term tells."""
+    chosen = _telling(sample, categories).orderBy(F.desc("dependence"), "term").limit(TERMS)
+    known = sorted(r["term"] for r in chosen.select("term").collect())
+    if not known:
         return None
-    stages = [
-        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=TERMS, minDF=SHARED_BY),
+    return PipelineModel(stages=[
+        CountVectorizerModel.from_vocabulary(known, inputCol="_terms", outputCol="_counts"),
         Binarizer(inputCol="_counts", outputCol="_once", threshold=0.5),
         Binarizer(inputCol="_counts", outputCol="_often", threshold=1.5),
         VectorAssembler(inputCols=["_once", "_often"], outputCol="_features"),
-    ]
-    return Pipeline(stages=stages).fit(sample)
+    ])
 
 
 def toxicity(issues: DataFrame, chain: Chain, target: str) -> DataFrame:

@@ -63,3 +63,46 @@ def test_labels_of_the_given_tables(spark):
     test = got.join(labels.join(train, "id", "left_anti"), "id")
     right, n = test.agg(F.sum((F.col("said") == (F.col("toxic") == 1)).cast("int")), F.count("*")).first()
     assert right >= 0.9 * n
+
+
+def test_rare_telling_words_among_many_common_ones(spark):
+    """More common terms than a vocabulary by frequency held (20 000); the telling ones are rarer than all of them."""
+    draw = random.Random(5)
+    signs = "0123456789abcdefghijklmnopqrstuvwxyz"
+    common = [a + b + c for a in signs for b in signs for c in signs][:21_000]
+    told = ["vile", "scum", "doom", "gore", "kill"]
+    texts = [[] for _ in range(280)]
+    for word in common:
+        for i in draw.sample(range(280), 12):
+            texts[i].append(word)
+    marks = [i % 6 == 0 for i in range(280)]
+    for k, i in enumerate(i for i in range(280) if marks[i]):
+        texts[i].append(told[k % 5])
+    issues = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(texts)], ISSUES).repartition(4)
+    labels = spark.createDataFrame([(i, 0, int(m), "x") for i, m in enumerate(marks)], LABELS)
+    chain = toxicity.fit(issues, labels.filter("id < 240"), ["toxic"])
+    assert set(told) <= set(chain.vocabulary.stages[0].vocabulary)
+    got = toxicity.toxicity(issues.filter("id >= 240"), chain, "toxic").collect()
+    assert [r["toxic"] for r in got if marks[r["id"]]] == [True] * sum(marks[240:])
+
+
+def test_the_models_choose_as_among_all_terms(spark, corpus):
+    """What is chosen before the fit loses no term that a model of any row set chooses."""
+    from pyspark.ml.feature import CountVectorizer
+
+    issues, labels = corpus
+    sample = issues.join(labels.select("id", "insult", "toxic"), "id").select("id", toxicity.terms(F.col("description")).alias("_terms"), "insult", "toxic")
+    sample = sample.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(toxicity.FOLDS))).localCheckpoint()
+    chosen = {r["term"] for r in toxicity._telling(sample, ["insult", "toxic"]).collect()}
+    every = CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=toxicity.SHARED_BY).fit(sample)
+    rows = [(r["_terms"], r["_fold"], r["insult"], r["toxic"]) for r in sample.collect()]
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.stat import ChiSquareTest
+
+    for category in (2, 3):
+        for fold in (None, 0, 1, 2):
+            own = [r for r in rows if fold is None or r[1] != fold]
+            for least in (1, 2):
+                data = [(float(r[category]), Vectors.dense([float(r[0].count(w) >= least) for w in every.vocabulary])) for r in own]
+                p = ChiSquareTest.test(spark.createDataFrame(data, ["label", "features"]), "features", "label").first().pValues
+                assert {w for w, x in zip(every.vocabulary, p) if x < toxicity.LEVEL} <= chosen
