@@ -2,9 +2,10 @@
 
 Each host has a tree of path segments. From the root down, the children of a
 node are counted: segments that are rare at their place, as ids and names are,
-become one wildcard; of those that stay, children whose shares of labelled bad
-urls do not differ significantly are one branch. The leaves are templates; one
-whose labelled urls are mostly bad, smoothed by the rate of all, is rejected.
+become one wildcard, unless their labels show that they are unlike their
+siblings; of those that stay, children whose shares of labelled bad urls do not
+differ significantly are one branch. The leaves are templates; one whose
+labelled urls are mostly bad, smoothed by the rate of all, is rejected.
 
 A level of all trees is one aggregation over (host, node, segment) counts, so a
 host with a third of all urls is only ever counts.
@@ -14,13 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longbox.llm.storage import stored
 
-# A segment stays itself if it has this share of the urls at its node.
+# A segment stays itself if it has this share of the urls at its node,
 COMMON = 0.05
+# or so many urls, and a bad share that its siblings' would give with this probability at most, for all segments tested.
+FEW, LEVEL = 5, 0.05
+# Shares of bad urls are told apart in steps of one in so many.
+STEPS = 1000
+# Segments that a branch's name lists.
+NAMED = 20
 # Branches join while their shares of bad urls differ by less than so many standard errors.
 ERRORS = 1.96
 # Smoothing counts as so many labelled urls at the overall rate; beyond this share, rejected.
@@ -58,11 +65,38 @@ def rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column
     return chosen
 
 
+def _unlike(bad: Column, labelled: Column, rate: Column) -> Column:
+    """Log likelihood of the labels by their own share of bad ones, less that by ``rate``."""
+    good = labelled - bad
+    own = F.when(bad > 0, bad * F.log(bad / (labelled * rate))).otherwise(0.0)
+    return own + F.when(good > 0, good * F.log(good / (labelled * (1 - rate)))).otherwise(0.0)
+
+
+def _kept(counts: DataFrame) -> DataFrame:
+    """Rows of ``counts`` (host, node, segment, n, labelled, bad) of segments that stay themselves.
+
+    The test is a likelihood ratio of segment and siblings against one share for
+    both. Its level is divided by the number of segments tested at the node, so
+    more labels always tell more, and chance among many ids nothing.
+    """
+    tested = (F.col("n") >= FEW) & (F.col("labelled") > 0)
+    totals = counts.groupBy("host", "node").agg(
+        F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"), F.count(F.when(tested, 1)).alias("_tested")
+    )
+    rate = F.col("_bad") / F.col("_labelled")
+    ratio = _unlike(F.col("bad"), F.col("labelled"), rate) + _unlike(
+        F.col("_bad") - F.col("bad"), F.col("_labelled") - F.col("labelled"), rate
+    )
+    differs = F.when(tested & (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled")), ratio >= F.log(F.col("_tested") / LEVEL))
+    common = F.col("n") >= COMMON * F.col("_n")
+    return counts.join(totals, ["host", "node"]).filter(common | F.coalesce(differs, F.lit(False))).select(*counts.columns)
+
+
 def _level(nodes: DataFrame, depth: int) -> DataFrame:
     """Branch of each segment at ``depth``: (host, node, segment, branch).
 
     ``nodes``: host, node, segments, n, labelled, bad, one row per distinct path
-    so far. Common segments are in order of their share of bad urls, and a
+    so far. Segments that stay are in order of their share of bad urls, and a
     branch goes on as long as neighbours do not differ; the rest are ``*``.
     """
     counts = (
@@ -70,13 +104,12 @@ def _level(nodes: DataFrame, depth: int) -> DataFrame:
         .groupBy("host", "node", F.col("segments")[depth].alias("segment"))
         .agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     )
-    totals = counts.groupBy("host", "node").agg(F.sum("n").alias("_all"))
-    common = counts.join(totals, ["host", "node"]).filter(F.col("n") >= COMMON * F.col("_all"))
-    # At most 1 / COMMON segments are common, so the list of a node is short.
-    entry = F.struct(
-        ((F.col("bad") + 0.5) / (F.col("labelled") + 1)).alias("share"), "segment", "labelled", "bad"
-    )
-    listed = common.groupBy("host", "node").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    share = (F.col("bad") + 0.5) / (F.col("labelled") + 1)
+    kept = _kept(counts).withColumn("_step", F.round(share * STEPS).cast("int"))
+    # However many segments stay, a node has at most STEPS + 1 shares to list.
+    steps = kept.groupBy("host", "node", "_step").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    entry = F.struct(share.alias("share"), "_step", "labelled", "bad")
+    listed = steps.groupBy("host", "node").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
 
     def step(acc, x):
         pooled = (acc["bad"] + x["bad"] + 0.5) / (acc["labelled"] + x["labelled"] + 1)
@@ -85,17 +118,22 @@ def _level(nodes: DataFrame, depth: int) -> DataFrame:
         joins = (acc["branch"] > 0) & (gap < ERRORS * error)
         branch = F.when(joins, acc["branch"]).otherwise(acc["branch"] + 1)
         keep = lambda name: F.when(joins, acc[name] + x[name]).otherwise(x[name])
-        made = F.struct(x["segment"].alias("segment"), branch.alias("branch"))
+        made = F.struct(x["_step"].alias("_step"), branch.alias("branch"))
         return F.struct(branch.alias("branch"), keep("labelled").alias("labelled"), keep("bad").alias("bad"), F.concat(acc["out"], F.array(made)).alias("out"))
 
     zero = F.struct(
         F.lit(0).alias("branch"), F.lit(0).cast("bigint").alias("labelled"), F.lit(0).cast("bigint").alias("bad"),
-        F.array().cast("array<struct<segment:string,branch:int>>").alias("out"),
+        F.array().cast("array<struct<_step:int,branch:int>>").alias("out"),
     )
     branches = F.aggregate("_list", zero, step, lambda acc: acc["out"])
-    named = listed.select("host", "node", F.explode(branches).alias("_b")).select("host", "node", "_b.segment", "_b.branch")
-    # A branch is called after its segments, a single one after itself.
-    names = named.groupBy("host", "node", "branch").agg(F.array_join(F.array_sort(F.collect_set("segment")), "|").alias("name"))
+    placed = listed.select("host", "node", F.explode(branches).alias("_b")).select("host", "node", "_b._step", "_b.branch")
+    named = kept.join(placed, ["host", "node", "_step"])
+    # A branch is called after its segments, a single one after itself; the first ones tell branches apart.
+    order = Window.partitionBy("host", "node", "branch").orderBy("segment")
+    first = named.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= NAMED + 1)
+    parts = F.array_sort(F.collect_list("segment"))
+    called = F.when(F.size(parts) > NAMED, F.concat(F.slice(parts, 1, NAMED), F.array(F.lit("...")))).otherwise(parts)
+    names = first.groupBy("host", "node", "branch").agg(F.array_join(called, "|").alias("name"))
     return named.join(names, ["host", "node", "branch"]).select("host", "node", "segment", "name")
 
 

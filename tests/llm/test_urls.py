@@ -55,3 +55,18 @@ def test_edge_rows(spark):
     assert out.columns == ["url_hash", "host", "path", "rule", "verdict"] and out.count() == len(rows)
     assert out.filter("verdict NOT IN ('allow', 'block') OR verdict IS NULL").isEmpty()
     assert judged(spark, []) == {}
+
+
+def test_small_sections_are_judged_by_their_labels(spark):
+    """25 sections of 4 % each, five of them bad; clean sections of 1 % among bad ones; many small ids."""
+    rows = [(f"a{s:02}.{i}", f"http://a.com/s{s:02}/{i}.html", int(s < 5) if i % 2 else None) for s in range(25) for i in range(40)]
+    rows += [(f"b{s:02}.{i}", f"http://b.com/t{s:02}/{i}.html", int(s >= 30) if i % 2 else None) for s in range(100) for i in range(40)]
+    rows += [(f"c{i}", f"http://c.com/{i // 5}/{i}", int(i % 7 == 0)) for i in range(1000)]
+    got = judged(spark, rows)
+    assert all(got[f"a{s:02}.{i}"]["verdict"] == ("block" if s < 5 else "allow") for s in range(25) for i in range(40))
+    assert all(got[f"b{s:02}.{i}"]["verdict"] == ("block" if s >= 30 else "allow") for s in range(100) for i in range(40))
+    assert all(got[f"c{i}"]["verdict"] == "allow" for i in range(1000))
+    parts = spark.createDataFrame([(*r, 0) for r in rows], DDL).select(urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "bad")
+    named = {tuple(r) for r in urls.templates(parts).select("host", "template", "n").distinct().collect()}
+    # chance does not make an id a template; a branch of 70 segments has a short name
+    assert ("c.com", "/*/*", 1000) in named and max(len(t) for _, t, _ in named) < 120
