@@ -40,12 +40,14 @@ PARAGRAPHS = "p h1 h2 h3 h4 h5 h6 br blockquote pre".split()
 VOID = "br wbr hr img input meta link col area base embed source track param".split()
 LOOSE = frozenset([*WITHIN_TEXT, *PARAGRAPHS, *VOID, *"li dt dd tr td th option".split()])
 MARKED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|respond|disqus\w*|sidebar|menu|nav|navbar|navigation|footer|header|masthead|"
-    r"notice|notices|cookies?|consent|banner|share|sharing|social|related|newsletter|subscribe|breadcrumbs?|popup|modal|search)(?:$|[\s_-])"
+    r"(?i)(?<!\S)(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|respond|disqus\w*|sidebar|menu|nav|navbar|navigation|footer|header|masthead|"
+    r"notice|notices|cookies?|consent|banner|share|sharing|social|related|newsletter|subscribe|breadcrumbs?|popup|modal|search)(?!\S)"
 )
+# Names of what readers add, where an article is a comment.
+ADDED = re.compile(r"(?i)(?<!\S)(?:comments?|respond|disqus\w*)(?!\S)")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAMED = re.compile(r"(?i)(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -73,19 +75,57 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no content; ``inside``: an article or main is open."""
-    if name in LEFT_OUT or name in RAW or name == "header" and not inside:
+def _names(name: str, attributes: str) -> str:
+    """Whole words of class and role, and of the id of what holds other elements (elsewhere it is an anchor)."""
+    return " ".join(" ".join(value) for kind, *value in _NAMED.findall(attributes) if kind.lower() != "id" or name not in LOOSE)
+
+
+def _left_out(name: str, attributes: str, inside: bool, holds: set[str]) -> bool:
+    """Whether an element is no content; ``inside``: an article or main is open.
+
+    ``holds``: which of article and main are in it. A form may be around a whole
+    page; what is in an aside or menu goes with it, but for a main.
+    """
+    if name in RAW:
         return True
+    names = _names(name, attributes)
+    around = "main" in holds or "article" in holds and not ADDED.search(names)
+    if name in LEFT_OUT or name == "header" and not inside:
+        return not ("main" in holds or around and name == "form")
     if name in CONTENT or name in ("body", "html"):
         return False
-    return any(MARKED.search(" ".join(filter(None, value))) for value in _NAMED.findall(attributes))
+    return not around and bool(MARKED.search(names))
+
+
+def _holding(items: list[tuple[str, str, str]]) -> dict[int, set[str]]:
+    """By the place of an opening tag, which of article and main lie in its element.
+
+    An article within an article is a comment or the like and counts for neither
+    the outer one nor what is between.
+    """
+    holds: dict[int, set[str]] = {}
+    open_: list[tuple[str, int]] = []
+    for at, (kind, name, rest) in enumerate(items):
+        if kind == "open":
+            if name == "main" or name == "article" and all(n != "article" for n, _ in open_):
+                for _, place in reversed(open_):
+                    if name in holds.get(place, ()):
+                        break
+                    holds.setdefault(place, set()).add(name)
+            if name not in VOID and not rest.endswith("/") and (name not in LOOSE or MARKED.search(_names(name, rest))):
+                open_.append((name, at))
+        elif kind == "close" and any(n == name for n, _ in open_):
+            while open_.pop()[0] != name:
+                pass
+    return holds
 
 
 def scored(page: str, cost: dict[str, float]) -> Iterator[tuple[float, str]]:
     """(score, text) of each token; a tag that ends a line of text gives a space."""
     open_, hidden = [], 0
-    for kind, name, rest in tokens(page):
+    items = list(tokens(page))
+    holds = _holding(items)
+    for at, (kind, name, rest) in enumerate(items):
         if kind == "text":
             if not hidden:
                 text = html_lib.unescape(rest)
@@ -95,7 +135,7 @@ def scored(page: str, cost: dict[str, float]) -> Iterator[tuple[float, str]]:
         inside = any(n in CONTENT for n, _ in open_)
         price = cost.get(name, _cost(name, 0, 0)) * (INSIDE if inside and name not in CONTENT else 1)
         if kind == "open":
-            out = _left_out(name, rest, inside)
+            out = _left_out(name, rest, inside, holds.get(at, set()))
             if out and inside:
                 price = 0.0  # left out as a whole, so it says nothing of what follows
             if (name not in LOOSE or out) and name not in VOID and not rest.endswith("/"):

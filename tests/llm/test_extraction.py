@@ -58,3 +58,19 @@ def test_the_given_pages(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", row["html"])[1]
         plain = html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", article)))
         assert row["text"] == " ".join(plain.split())
+
+
+@pytest.mark.parametrize("body, wanted", [
+    (f'<div class="layout no-sidebar"><article><p>{WORDS}</p></article></div>', WORDS),
+    (f'<div class="has-sidebar"><article><p>{WORDS}</p></article></div>', WORDS),
+    (f'<div class="sidebar"><main><p>{WORDS}</p></main></div>', WORDS),
+    (f'<form id=search action="/"><div class=menu><article><p>{WORDS}</p></article></div></form>', WORDS),
+    (f'<article><h2 id="related-work">Related work</h2><p>{WORDS}</p><h2 id="related">More</h2><p>a <span id="share">b</span></p></article>', f"Related work {WORDS} More a b"),
+    (f'<article><p>{WORDS}</p><section id="search-trees"><p>x y</p></section><div id="notice-period"><p>{WORDS}</p></div></article>', f"{WORDS} x y {WORDS}"),
+    # still left out
+    (f'<article><p>{WORDS}</p><div class="post share"><p>x y</p></div><div id="comments"><p>z</p></div></article>', WORDS),
+    (f'<main><article><p>{WORDS}</p></article><div id="comments"><article><p>First!</p></article></div></main>', WORDS),
+    (f'<article><p>{WORDS}</p><div class="related"><article><p>See this.</p></article></div></article>', WORDS),
+])
+def test_only_whole_names_hide_and_never_what_holds_the_article(cost, body, wanted):
+    assert extraction.main_text(SHELL.format(body), cost) == wanted
