@@ -8,7 +8,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from longbox.llm import bpe, chat, decontaminate, extraction, neardup, neighbours, tokenfiles, toxicity, urls, warc
+from longbox.llm import (
+    alignment,
+    bpe,
+    chat,
+    decontaminate,
+    extraction,
+    infill,
+    neardup,
+    neighbours,
+    pairtree,
+    tokenfiles,
+    toxicity,
+    urls,
+    warc,
+)
 from longbox.suite.registry import Suite, Tables
 
 suite = Suite()
@@ -158,3 +172,61 @@ def _(t):
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@q("op11_tokenizer_alignment")
+def _(t):
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align_and_score(_descriptions(t), first, public_tokenizers.PATTERN, second)
+    groups = alignment.groups_text(F.col("a"), F.col("b"), F.col("a_sizes"), F.col("b_sizes"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("a").cast("long").alias("n_a"),
+        F.size("b").cast("long").alias("n_b"),
+        F.size("a_sizes").cast("long").alias("n_groups"),
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(F.size("a_sizes") > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"),
+    )
+
+
+@q("op12_fill_in_middle", """
+    WITH said AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (
+      SELECT doc_id, text, length(text) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM said),
+    cut AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+    parts AS (
+      SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM cut)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(text) AS restored_sha256 FROM parts""")
+def _(t):
+    made = infill.transform_descriptions(_descriptions(t), infill.Choice(seed=1, plain_from=90, spm_below=20))
+    return made.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@q("op13_bpe_segment_tree")
+def _(t):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = pairtree.encode_descriptions(_descriptions(t), path, public_tokenizers.PATTERN)
+    decoded = pairtree.decode_descriptions(encoded, path, public_tokenizers.PATTERN)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(pairtree.packed(F.col("tokens")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
