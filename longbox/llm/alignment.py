@@ -18,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longbox.llm.memo import Memo, portions
-from longbox.llm.pairtree import Pairs, packed_lists
+from longbox.llm.memo import portions
+from longbox.llm.pairtree import Pairs
 from longbox.llm.storage import stored
 
 SPACE = "▁"
@@ -34,11 +33,7 @@ PART = 32
 
 
 class Pieces:
-    """A piece model that prefixes a space, asked once for each new word.
-
-    No piece holds a space behind another letter, so nothing is merged across the
-    beginning of a run of spaces, and the ids of those parts joined are the text's.
-    """
+    """A piece model that prefixes a space."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -47,17 +42,11 @@ class Pieces:
 
     def _start(self):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-        n = self.processor.get_piece_size()
-        pieces = [self.processor.id_to_piece(i) for i in range(n)]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("a piece has a space behind a letter")
         self.tokens = {
-            i: bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(SPACE, " ").encode()
-            for i, p in enumerate(pieces)
+            i: bytes([int(piece[3:5], 16)]) if self.processor.is_byte(i) else piece.replace(SPACE, " ").encode()
+            for i in range(self.processor.get_piece_size())
+            for piece in [self.processor.id_to_piece(i)]
         }
-        self.space = self.processor.piece_to_id(SPACE)
-        self.find = regex.compile(rf"[ {SPACE}]+[^ {SPACE}]*").findall
-        self.memo = Memo(self._packed)
 
     def __getstate__(self):
         return {"model": self.model}
@@ -66,62 +55,71 @@ class Pieces:
         self.model = state["model"]
         self._start()
 
-    def _packed(self, words: list[str]) -> Iterator[bytes]:
-        # The model puts a space in front itself; nothing but that space is no text to it.
-        found = iter(self.processor.encode([w[1:] for w in words if len(w) > 1], num_threads=1))
-        for word in words:
-            yield np.array(next(found) if len(word) > 1 else [self.space], "<i4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, which is not empty."""
-        return self.memo.packed([self.find(f" {text}") for text in texts])
+        """Packed ids of each text."""
+        return [np.array(ids, "<i4").tobytes() for ids in self.processor.encode(texts, num_threads=1)]
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens in each group from the ends of two tokenizations.
 
     Both rise strictly to the same last end. Groups are given as (sizes in A,
     sizes in B).
     """
-    sizes_a, sizes_b = [], []
+    ends_a, ends_b = a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes()
+    at_a, at_b = memoryview(ends_a).cast("q"), memoryview(ends_b).cast("q")
+    n, groups, irregular = len(a), 0, []
     i = j = 0
-    n = len(a)
     while i < n:
-        # a[i:] and b[j:] begin at a common end; their shift is j - i.
-        step = STRETCH
-        begun = i
-        while i < n and a[i : i + step] == b[j : j + step]:
+        # Tokens from i and j on begin at a common end; their shift is j - i.
+        begun, step = i, STRETCH
+        while i < n and ends_a[8 * i : 8 * (i + step)] == ends_b[8 * j : 8 * (j + step)]:
             done = min(step, n - i)
             i, j, step = i + done, j + done, 2 * step
         while step > 1 and i < n:
             step //= 2
-            if a[i : i + step] == b[j : j + step]:
+            if ends_a[8 * i : 8 * (i + step)] == ends_b[8 * j : 8 * (j + step)]:
                 i, j = i + step, j + step
-        ones = [1] * (i - begun)
-        sizes_a += ones
-        sizes_b += ones
+        groups += i - begun
         if i < n:
             first_i, first_j = i, j
-            while a[i] != b[j]:
-                if a[i] < b[j]:
+            x, y = at_a[i], at_b[j]
+            while x != y:
+                if x < y:
                     i += 1
+                    x = at_a[i]
                 else:
                     j += 1
+                    y = at_b[j]
             i, j = i + 1, j + 1
-            sizes_a.append(i - first_i)
-            sizes_b.append(j - first_j)
-    return sizes_a, sizes_b
+            irregular.append((groups, i - first_i, j - first_j))
+            groups += 1
+    sizes = np.ones((2, groups), np.int32)
+    places = np.array(irregular, np.int64).reshape(-1, 3).T
+    sizes[:, places[0]] = places[1:]
+    return sizes[0], sizes[1]
 
 
-class Sizes:
-    """Bytes of each token by id."""
+class Spelling:
+    """Bytes of tokens by id, end to end."""
 
     def __init__(self, tokens: dict[int, bytes]):
-        self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        said = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.sizes = np.array([len(token) for token in said], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(said), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        places = np.repeat(self.starts[ids] - before, sizes)
+        places += np.arange(len(places))
+        return self.blob[places].tobytes()
+
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+def int_lists(rows: list[np.ndarray]) -> pa.Array:
+    stops = np.cumsum([0] + [len(row) for row in rows], dtype=np.int32)
+    return pa.ListArray.from_arrays(stops, pa.array(np.concatenate(rows).astype(np.int32, copy=False)))
 
 
 class LinkTable:
@@ -156,7 +154,7 @@ class Aligner:
         self._start()
 
     def _start(self):
-        self.a, self.b = Sizes(self.first.tokens), Sizes(self.second.tokens)
+        self.a, self.b = Spelling(self.first.tokens), Spelling(self.second.tokens)
 
     def __getstate__(self):
         return {"first": self.first, "second": self.second}
@@ -165,17 +163,17 @@ class Aligner:
         self.__dict__.update(state)
         self._start()
 
-    def align(self, texts: list[str]) -> list[list[bytes | list[int]]]:
+    def align(self, texts: list[str]) -> list[list[np.ndarray]]:
         """[A ids, B ids, sizes in A, sizes in B] of each text."""
+        none = np.empty(0, np.int32)
+        out = [[none] * 4 for _ in texts]
         said = [i for i, text in enumerate(texts) if text]
         packed = zip(self.first.encode([f" {texts[i]}" for i in said]), self.second.encode([texts[i] for i in said]))
-        out = [[b"", b"", [], []] for _ in texts]
-        for i, (a, b) in zip(said, packed):
+        for i, both in zip(said, packed):
             whole = f" {texts[i]}".encode()
-            ids_a, ids_b = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
-            if self.a.joined(ids_a.tolist()) == whole == self.b.joined(ids_b.tolist()):
-                ends = np.cumsum(self.a.sizes[ids_a]).tolist(), np.cumsum(self.b.sizes[ids_b]).tolist()
-                out[i] = [a, b, *align(*ends)]
+            a, b = (np.frombuffer(ids, "<i4") for ids in both)
+            if self.a.joined(a) == whole == self.b.joined(b):
+                out[i] = [a, b, *align(np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b]))]
         return out
 
 
@@ -202,9 +200,7 @@ def align_descriptions(issues: DataFrame, path_a: str, pattern: str, path_b: str
         for batch in batches:
             done = 0
             for texts in portions(batch.column("description").to_pylist()):
-                a, b, sizes_a, sizes_b = zip(*shared.value.align(texts))
-                kind = pa.list_(pa.int32())
-                columns = [packed_lists(a), packed_lists(b), pa.array(sizes_a, kind), pa.array(sizes_b, kind)]
+                columns = map(int_lists, zip(*shared.value.align(texts)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(done, len(texts)), *columns], ["id", "a", "b", "a_sizes", "b_sizes"]
                 )
