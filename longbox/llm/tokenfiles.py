@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from longbox.llm.bpe import Encoder
+from longbox.llm.memo import portions
 from longbox.llm.storage import one_task_each, open_input, open_output, stored, task_name
 from longbox.sources.tables import shared_folder
 
@@ -127,20 +128,23 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(added)).search if added else lambda text: None
-        self.encoder = Encoder(pattern, self._ids)
+        self.encoder = Encoder(pattern, self._packed)
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in words]
-        if words:
-            found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            for word, token in zip(found.word_ids, found.ids):
-                out[word].append(token)
-        return out
+    def _packed(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<i4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(words)))).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
-    def encode(self, text: str) -> bytes:
-        if self.added(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-        return self.encoder.encode(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as packed 32-bit integers."""
+        packed = iter(self.encoder.encode([text for text in texts if not self.added(text)]))
+        return [self._whole(text) if self.added(text) else next(packed) for text in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
 
 def write_token_files(issues: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
@@ -171,9 +175,10 @@ def write_token_files(issues: DataFrame, path: str, pattern: str, end_id: int) -
             )
 
         for batch in batches:
-            for issue_id, text in zip(batch.column("id").to_pylist(), batch.column("description").to_pylist()):
+            packed = (x for texts in portions(batch.column("description").to_pylist()) for x in library.encode(texts))
+            for issue_id, ids in zip(batch.column("id").to_pylist(), packed):
                 known.append(issue_id)
-                parts.append(library.encode(text or "") + end)
+                parts.append(ids + end)
                 size += len(parts[-1])
                 if size >= 4 * FILE_IDS:
                     yield full()
