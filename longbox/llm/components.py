@@ -11,7 +11,7 @@ from longbox.llm.storage import stored
 def _least(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least of u and u's neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("u", "m"))
+    return edges.join(least.hint("merge"), "u").withColumn("m", F.least("u", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -9,15 +9,16 @@ are therefore neighbours in memory: a signature is one gather and one minimum.
 Bands of coordinates make buckets. Descriptions with equal sets are one class
 from the start, and a bucket is never paired out: a few leaders of each bucket
 are compared with its other classes, links are confirmed on the full sets,
-classes linked so far become one component, and only buckets that still hold
-several components go on, with more leaders each round and without those that
-have met everyone.
+classes that these tie get one label, and only buckets that still hold several
+labels go on, with more leaders each round and without those that have met
+everyone. Components are made once, of all links.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,10 @@ PLACES = 8192
 # Leaders of a bucket grow by this factor from round to round.
 LEADERS = 4
 # Four low bits of each of 512 coordinates, 16 in a word of 64 bits, tell hopeless
-# pairs: at the threshold more than 165 differ less than once in 300 000.
+# pairs: at the threshold one in 4.3 coordinates differs, and that more than 200 do
+# has a probability below 1e-13 by Chernoff's bound, less than one pair of any corpus.
 SKETCH = 32
-DIFFERENT = 165
+DIFFERENT = 200
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -155,19 +157,38 @@ def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
 
+def _by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sorted join: the driver builds no table of it."""
+    return df.hint("merge")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough."""
+    """Pairs (u, v, lu, lv) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("v"), F.col("shingles").alias("_b"))
     right = sets.select(F.col("id").alias("u"), F.col("shingles").alias("_a"))
     both = F.size(F.array_intersect("_a", "_b"))
     alike = 100 * both >= PERCENT * (F.size("_a") + F.size("_b") - both)
-    return pairs.join(left, "v").join(right, "u").filter(alike).select("u", "v").distinct()
+    found = pairs.join(_by_key(left), "v").join(_by_key(right), "u").filter(alike)
+    return found.select("u", "v", "lu", "lv").distinct()
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(label, lower): the least label within two links of each label of ``links``.
+
+    Leaders are hubs, so this is mostly the least label of all that are linked; what
+    lies further apart is compared once more, and no link depends on it.
+    """
+    edges = links.select(F.col("lu").alias("a"), F.col("lv").alias("b"))
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    further = edges.join(_by_key(near.withColumnRenamed("a", "b")), "b").groupBy("a").agg(F.min("m").alias("m2"))
+    return further.select(F.col("a").alias("label"), F.least("a", "m2").alias("lower"))
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
+    """Members of buckets that hold more than one label."""
     mixed = members.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a < _b")
-    return members.join(mixed.select("bucket"), "bucket", "left_semi")
+    return members.join(_by_key(mixed.select("bucket")), "bucket", "left_semi")
 
 
 def _central(members: DataFrame) -> DataFrame:
@@ -176,50 +197,54 @@ def _central(members: DataFrame) -> DataFrame:
     The class in the middle of a group of copies shares most buckets with most of them.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("_size"))
-    weights = members.join(sizes, "bucket").groupBy("rep").agg(F.sum("_size").alias("weight"))
-    return members.join(weights, "rep")
+    weights = members.join(_by_key(sizes), "bucket").groupBy("rep").agg(F.sum("_size").alias("weight"))
+    return members.join(_by_key(weights), "rep")
 
 
-def _links(members: DataFrame, sets: DataFrame, details: DataFrame) -> DataFrame | None:
-    """Confirmed links (u, v) between the ``members`` of open buckets.
+def _links(members: DataFrame, sets: DataFrame, details: DataFrame) -> list[DataFrame]:
+    """Confirmed links (u, v) between the ``members`` of open buckets, by rounds.
 
     ``members``: bucket, rep, n, weight, label; ``details``: rep, n, sketch and
     bands. Each round compares some members of a bucket, the leaders, with all
-    its others; those then leave it. The rounds end when no bucket holds two
-    components any more, so that every pair has met or is linked otherwise.
-    Central members lead first: they link most of a group at once, and who is
-    linked need not be compared again. From the second round on a pair meets in
-    its first common bucket only, and if its sketches leave it hope.
+    its others; those then leave it. Labels that new links tie become one, and the
+    rounds end when no bucket holds two labels any more, so that every pair has
+    met or is linked otherwise. Central members lead first: they link most of a
+    group at once, and who is linked need not be compared again. From the second
+    round on a pair meets in its first common bucket only, and if its sketches
+    leave it hope.
     """
-    confirmed, leaders = None, 1
+    confirmed, leaders = [], 1
     known = ["rep", "n", "label"]
     while not members.isEmpty():
         chosen = top_per_group(members, ["bucket"], [F.desc("weight"), F.col("rep")], leaders)
         chosen = chosen.select("bucket", *[F.col(c).alias(f"_{c}") for c in known])
-        chosen = stored(chosen.withColumn("u", F.col("_rep")), "leaders")
+        chosen = stored(chosen, "leaders")
         hopeful = (F.col("label") != F.col("_label")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
         if leaders > 1:
             first = F.array_min(F.array_intersect("bands", "_bands")) == F.col("bucket")
             hopeful = hopeful & (_differences("sketch", "_sketch") <= DIFFERENT) & first
         pairs = (
-            members.join(chosen, "bucket")
+            members.join(_by_key(chosen), "bucket")
             .filter(hopeful)
-            .select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v"))
+            .select(
+                F.least("_rep", "rep").alias("u"), F.greatest("_rep", "rep").alias("v"),
+                F.least("_label", "label").alias("lu"), F.greatest("_label", "label").alias("lv"),
+            )
             .distinct()
         )
-        found = _confirmed(pairs, sets)
-        confirmed = stored(found if confirmed is None else confirmed.unionByName(found), "links")
-        labels = components(confirmed).withColumnRenamed("u", "rep")
+        links = stored(_confirmed(pairs, sets), "links")
+        confirmed.append(links.select("u", "v"))
+        met = chosen.select("bucket", F.col("_rep").alias("rep"))
         rest = (
-            members.join(chosen.select("bucket", F.col("u").alias("rep")), ["bucket", "rep"], "left_anti")
-            .drop("label")
-            .join(labels, "rep", "left")
-            .withColumn("label", F.coalesce("component", "rep"))
-            .drop("component")
+            members.join(_by_key(met), ["bucket", "rep"], "left_anti")
+            .join(_by_key(_merged(links)), "label", "left")
+            .withColumn("label", F.coalesce("lower", "label"))
+            .drop("lower")
         )
-        rest = _open(rest)
         if leaders == 1:
-            rest, known = rest.join(details, ["rep", "n"]), [*known, "sketch", "bands"]
+            rest, known = _open(rest).join(_by_key(details), ["rep", "n"]), [*known, "sketch", "bands"]
+        else:
+            rest = _open(rest)
         members = stored(rest, "members")
         leaders *= LEADERS
     return confirmed
@@ -240,12 +265,12 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
     signed = stored(texts.mapInArrow(_sign, SIGNED), "signed")
     sets = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = sets.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    first = sets.join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"], "left_semi")
+    first = sets.join(_by_key(classes.withColumnRenamed("rep", "id")), ["d1", "d2", "id"], "left_semi")
     buckets = first.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), F.col("n_shingles").alias("n"))
     members = stored(_open(buckets.withColumn("label", F.col("rep"))), "members")
     members = stored(_central(members), "members")
     met = members.select(F.col("rep").alias("id")).distinct()
-    full = stored(texts.join(met, "id", "left_semi").mapInArrow(_shingle, "id BIGINT, shingles ARRAY<BIGINT>"), "sets")
+    full = stored(texts.join(_by_key(met), "id", "left_semi").mapInArrow(_shingle, "id BIGINT, shingles ARRAY<BIGINT>"), "sets")
     details = first.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").distinct()
     links = _links(members, full, details)
     # An id with several texts belongs to several classes and so ties them.
@@ -253,7 +278,7 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
         (F.min("d1") < F.max("d1")).alias("_d1"), (F.min("d2") < F.max("d2")).alias("_d2")
     ).filter("_d1 OR _d2")
     ties = sets.join(several, "id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    labels = components(ties if links is None else links.unionByName(ties)).withColumnRenamed("u", "rep")
+    labels = components(reduce(DataFrame.unionByName, links, ties)).withColumnRenamed("u", "rep")
     named = classes.join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("_least"))
     whole = signed.drop("bands", "sketch").withColumn("_in", F.col("n_shingles") > 0).join(named, ["d1", "d2"], "left")
     component = F.when(F.col("_in") & F.col("id").isNotNull(), F.col("_least")).otherwise(F.col("id"))
