@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 # Bytes that the strings of a memo and their ids may take, overhead included.
-BYTES = 100_000_000
+BYTES = 200_000_000
 # What a string, its ids and their places in dict and set take besides their text.
 OVERHEAD = 230
 # Characters of texts handled at a time.

@@ -40,6 +40,8 @@ UNIVERSE = 1 << 20
 SEED = 20
 # Places handled at a time, which bounds the memory of a very long text.
 PLACES = 8192
+# Links that a label crosses within a round.
+HOPS = 4
 # Leaders of a bucket grow by this factor from round to round.
 LEADERS = 4
 # Four low bits of each of 512 coordinates, 16 in a word of 64 bits, tell hopeless
@@ -173,16 +175,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _merged(links: DataFrame) -> DataFrame:
-    """(label, lower): the least label within two links of each label of ``links``.
+    """(label, lower): the least label within ``HOPS`` links of each label of ``links``.
 
     Leaders are hubs, so this is mostly the least label of all that are linked; what
     lies further apart is compared once more, and no link depends on it.
     """
-    edges = links.select(F.col("lu").alias("a"), F.col("lv").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = links.select(F.col("lu").alias("a"), F.col("lv").alias("b")).distinct()
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    further = edges.join(_by_key(near.withColumnRenamed("a", "b")), "b").groupBy("a").agg(F.min("m").alias("m2"))
-    return further.select(F.col("a").alias("label"), F.least("a", "m2").alias("lower"))
+    for _ in range(HOPS - 1):
+        reached = edges.join(_by_key(near.withColumnRenamed("a", "b")), "b").groupBy("a").agg(F.min("m").alias("far"))
+        near = near.join(_by_key(reached), "a").select("a", F.least("m", "far").alias("m"))
+    return near.withColumnsRenamed({"a": "label", "m": "lower"})
 
 
 def _open(members: DataFrame) -> DataFrame:
