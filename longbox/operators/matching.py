@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longbox.operators.forest import KdForest
 from longbox.plans.scale import top_per_group
 
 # Default weights, distance kinds, and scoring constants.
@@ -113,19 +114,35 @@ def _distances(q: np.ndarray, c: np.ndarray, hamming: bool) -> np.ndarray:
 def _nearest(q: np.ndarray, c: np.ndarray, hamming: bool, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and exact distances of the ``k`` nearest rows of ``c``.
 
-    L2 is found on the fast product and settled on exact differences.
+    L2 is found on the fast product and settled on exact differences: of every
+    row whose squared distance may, by the rounding bound of the product, be no
+    larger than the k-th.
     """
-    rough = _distances(q, c, hamming)
-    few = min(k if hamming else k + 4, c.shape[0])
-    # ``c`` is in keypoint order, so a stable sort breaks ties by keypoint.
-    at = np.argsort(rough, axis=1, kind="stable")[:, :few]
+    k = min(k, c.shape[0])
     if hamming:
+        rough = _distances(q, c, hamming)
+        # ``c`` is in keypoint order, so a stable sort breaks ties by keypoint.
+        at = np.argsort(rough, axis=1, kind="stable")[:, :k]
         return at, np.take_along_axis(rough, at, 1)
-    exact = np.sqrt(((q[:, None, :] - c[at]) ** 2).sum(2))
-    order = np.lexsort((at, exact), axis=1)[:, : min(k, few)]
+    norms_q, norms_c = (q**2).sum(1), (c**2).sum(1)
+    rough = norms_q[:, None] + norms_c[None, :] - 2 * (q @ c.T)
+    # Each of the three sums of products is off by less than D eps |q| |c| (or its like).
+    slack = 4 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (norms_q + norms_c.max())
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+    few = int((rough <= limit[:, None]).sum(axis=1).max())
+    at = np.argsort(rough, axis=1, kind="stable")[:, :few]
+    exact = np.empty(at.shape)
+    for i in range(few):
+        exact[:, i] = np.sqrt(((q - c[at[:, i]]) ** 2).sum(1))
+    order = np.lexsort((at, exact), axis=1)[:, :k]
     return np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
 
 
+def _in_forest(q: np.ndarray, c: np.ndarray, hamming: bool, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from a forest over ``c``, built where its rows lie."""
+    return KdForest(c).search(q, k)
+
+
 def _block_matcher(k: int, rule: str, ratio: float, near: float):
     names = [f.split(" ")[0] for f in NEIGHBOURS.split(", ")]
 
@@ -180,14 +197,15 @@ def neighbours(
     keys: tuple[str, ...] = ("session_id", "detector"),
     block: int = BLOCK,
 ) -> DataFrame:
-    """Nearest one or two candidates per (query keypoint, candidate image).
+    """Nearest one or two (``k``) candidates per (query keypoint, candidate image).
 
     ``rule`` keeps all, those passing the ratio test, or the near ones. A
     candidate image stays in one block unless it alone exceeds the block
     size; the parts of such an image are merged before the rule applies.
     """
-    counted = candidates.groupBy(*keys, "image_id").agg((F.count("*") > block).alias("split"))
-    flagged = candidates.join(counted, [*keys, "image_id"])
+    if k not in (1, 2):
+        raise ValueError("match rules use one or two neighbours; see knn for more")
+    flagged = _flagged(candidates, keys, block)
     run = _block_matcher(k, rule, ratio, near)
     whole = _by_blocks(queries, flagged.filter(~F.col("split")), list(keys), block, run)
     parts = _by_blocks(queries, flagged.filter("split"), list(keys), block, run)
@@ -199,7 +217,7 @@ def neighbours(
     return whole.unionByName(merged).drop("split")
 
 
-def _by_blocks(queries: DataFrame, candidates: DataFrame, by: list[str], block: int, run) -> DataFrame:
+def _by_blocks(queries: DataFrame, candidates: DataFrame, by: list[str], block: int, run, schema: str = NEIGHBOURS) -> DataFrame:
     """Run a matcher on every pair of query and candidate blocks of a key."""
     columns = ["session_id", "detector", "image_id", "kp_id", "x", "y", "descriptor", "bits"]
     columns += [c for c in by if c not in columns]
@@ -224,7 +242,7 @@ def _by_blocks(queries: DataFrame, candidates: DataFrame, by: list[str], block:
     group = [*by, "q", "c"]
     # Both sides may come from one frame; fresh columns keep them apart.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, NEIGHBOURS)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, schema)
 
 
 def _merge(parts: DataFrame, k: int) -> DataFrame:
@@ -248,38 +266,86 @@ def _merge(parts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def knn(descriptors: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
-    """Exact k (1 or 2) nearest neighbours, one row per rank."""
-    found = neighbours(_side(descriptors, "query"), _side(descriptors, "candidate"), k, block=block)
-    return _ranked(found, k)
+def _flagged(candidates: DataFrame, keys: tuple[str, ...], block: int) -> DataFrame:
+    """``candidates`` with ``split``: their image is larger than a block."""
+    counted = candidates.groupBy(*keys, "image_id").agg((F.count("*") > block).alias("split"))
+    return candidates.join(counted, [*keys, "image_id"])
+
 
+RANKS = (
+    "session_id STRING, detector STRING, query_id BIGINT, query_kp BIGINT, candidate_id BIGINT, "
+    "candidate_kp BIGINT, rank BIGINT, distance DOUBLE, split BOOLEAN"
+)
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    ranks = [F.struct(F.lit(1).cast("bigint").alias("rank"), F.col("kp1").alias("candidate_kp"), F.col("d1").alias("distance"))]
-    if k > 1:
-        ranks.append(F.struct(F.lit(2).cast("bigint").alias("rank"), F.col("kp2").alias("candidate_kp"), F.col("d2").alias("distance")))
-    rows = found.select(*PAIR, "detector", "query_kp", F.inline(F.array(*ranks)))
-    return rows.filter(F.col("candidate_kp").isNotNull())
 
+def _rank_matcher(k: int, find):
+    names = [f.split(" ")[0] for f in RANKS.split(", ")]
 
-def knn_approx(
-    descriptors: DataFrame, k: int = 2, tables: int = 5, width: float = 60.0, dimensions: int = 64, seed: int = 7,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Approximate L2 neighbours: only descriptors sharing a random-projection
-    bucket in one of ``tables`` tables are compared, exactly, block by block.
+    def match(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({n: [] for n in names}).astype({"session_id": str, "detector": str})
+        hamming = q["detector"].iat[0] in HAMMING
+        qm, out = _matrix(q, hamming), []
+        for image, side in c.groupby("image_id", sort=True):
+            side = side.sort_values("kp_id")
+            at, far = find(qm, _matrix(side, hamming), hamming, k)
+            found = (at >= 0).ravel()
+            rows = np.repeat(np.arange(len(q)), at.shape[1])[found]
+            out.append(
+                pd.DataFrame(
+                    {
+                        "session_id": q["session_id"].to_numpy()[rows],
+                        "detector": q["detector"].to_numpy()[rows],
+                        "query_id": q["image_id"].to_numpy()[rows],
+                        "query_kp": q["kp_id"].to_numpy()[rows],
+                        "candidate_id": image,
+                        "candidate_kp": side["kp_id"].to_numpy()[at.ravel()[found]],
+                        "rank": np.tile(np.arange(1, at.shape[1] + 1), len(q))[found],
+                        "distance": far.ravel()[found],
+                        "split": bool(side["split"].iat[0]),
+                    }
+                )
+            )
+        return pd.concat(out, ignore_index=True)
+
+    return match
+
+
+def _k_nearest(descriptors: DataFrame, k: int, block: int, find) -> DataFrame:
+    """One row per rank; parts of an image larger than a block are merged by rank."""
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    queries, candidates = _side(descriptors, "query"), _side(descriptors, "candidate")
+    flagged = _flagged(candidates, ("session_id", "detector"), block)
+    run = _rank_matcher(k, find)
+    keys = ["session_id", "detector"]
+    whole = _by_blocks(queries, flagged.filter(~F.col("split")), keys, block, run, RANKS)
+    parts = _by_blocks(queries, flagged.filter("split"), keys, block, run, RANKS).drop("rank")
+    point = ["session_id", "detector", "query_id", "query_kp", "candidate_id"]
+    merged = top_per_group(parts, point, [F.col("distance"), F.col("candidate_kp")], k)
+    return whole.unionByName(merged).select(*PAIR, "detector", "query_kp", "rank", "candidate_kp", "distance")
+
+
+def knn(descriptors: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
+    """Exact ``k`` nearest neighbours in each candidate image, one row per rank."""
+    return _k_nearest(descriptors, k, block, _nearest)
+
+
+def knn_approx(descriptors: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
+    """Approximate L2 neighbours from randomised kd-trees, one row per rank.
+
+    Each block of a candidate image has a forest of five trees, built in the task
+    that holds it; a query keypoint compares 50 points of it, taken from one queue
+    over all trees. Binary descriptors are left out: they have exact counts.
     """
-    rng = np.random.default_rng(seed)
-    hashed = descriptors.filter(~F.col("detector").isin(*HAMMING))
-    buckets = []
-    for table in range(tables):
-        line = F.array(*[F.lit(float(v)) for v in rng.normal(size=dimensions)])
-        dot = F.aggregate(F.zip_with("descriptor", line, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        buckets.append(F.concat(F.lit(f"{table}:"), F.floor((dot + float(rng.uniform(0, width))) / width).cast("string")))
-    spread = hashed.withColumn("bucket", F.explode(F.array(*buckets)))
-    keys = ("session_id", "detector", "bucket")
-    found = neighbours(_side(spread, "query"), _side(spread, "candidate"), k, keys=keys, block=block)
-    return _ranked(_merge(found.withColumn("split", F.lit(True)), k), k)
+    return _k_nearest(descriptors.filter(~F.col("detector").isin(*HAMMING)), k, block, _in_forest)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(detector, n_exact, recall): share of exact neighbours that were found."""
+    key = [*PAIR, "detector", "query_kp", "candidate_kp"]
+    both = exact.select(*key).join(found.select(*key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    return both.groupBy("detector").agg(F.count("*").alias("n_exact"), (F.count("_hit") / F.count("*")).alias("recall"))
 
 
 def ratio_test(descriptors: DataFrame, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:

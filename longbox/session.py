@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Settings the plans rely on. AQE splits skewed join partitions and coalesces
-# small ones. Nothing is broadcast by hand in this package: Spark does so only
-# for a side below its size threshold, by estimate or as measured at run time.
+# small ones. Nothing is broadcast by hand outside ``longbox.llm``: Spark does so
+# only for a side below its size threshold, by estimate or as measured at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State of streams lies on disk, not in the heap of executors.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -17,23 +17,16 @@ def unseen(listing: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def arrivals(listings: DataFrame, ledger: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Add each unseen file of a stream of listings to the ledger as running.
+    """Add each unseen file of a stream of listings to the ledger at ``path`` as running.
 
-    Rows go to ``path``, one folder per trigger. What was seen is ``ledger``
-    and the folders of earlier triggers, so the stream needs no state of its
-    own, and a trigger run again after a failure replaces only its folder.
+    The keys of files seen are state of the stream (in RocksDB, if the session says
+    so), so a trigger reads its listing and ``ledger`` and no earlier output. The
+    sink commits each trigger's files once, also when it is run again.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = ledger.select("series_id", "file_path", "state")
-        if batch_id > 0:
-            earlier = batch.sparkSession.read.parquet(path).filter(F.col("batch") < batch_id)
-            known = known.unionByName(earlier.select("series_id", "file_path", "state"))
-        found = unseen(batch, known).withColumn("state", F.lit("PROCESSING"))
-        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
+    found = unseen(listings, ledger).withColumn("state", F.lit("PROCESSING"))
     return (
-        listings.writeStream.foreachBatch(handle)
+        found.writeStream.format("parquet")
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,4 @@
-"""Session progress: batch operators and the streams that keep them current.
+"""Session progress: batch operators and the stream form of the rate limit.
 
 Events are rows of session_id, ts, event_id, stage, progress, message, type,
 error and props (a JSON map of counters).
@@ -6,7 +6,6 @@ error and props (a JSON map of counters).
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,63 +52,6 @@ def history(events: DataFrame, n: int = HISTORY) -> DataFrame:
     return top_per_group(events, ["session_id"], [F.desc("ts"), F.desc("event_id")], n)
 
 
-def _combine(n: int):
-    """Per Arrow batch, the last ``n`` events of each session.
-
-    Runs before the shuffle, so a session that floods the stream sends a few
-    rows per batch to its state and not all of them.
-    """
-
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.sort_values(["ts", "event_id"]).groupby("session_id", sort=False).tail(n)
-
-    return combine
-
-
-def _keep_last(n: int):
-    """State function: the last ``n`` events of one session as JSON, with TTL."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = pd.read_json(io.StringIO(state.get[0]), orient="split", dtype=False) if state.exists else None
-        if held is not None:
-            held["ts"] = pd.to_datetime(held["ts"])
-            held["session_id"] = key[0]
-        for batch in batches:
-            # Bounded memory: cut back to ``n`` after every batch.
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            held = held.sort_values(["ts", "event_id"]).tail(n)
-        frame = held.assign(ts=held["ts"].astype("datetime64[us]").astype(str))
-        state.update((frame.to_json(orient="split", index=False),))
-        state.setTimeoutDuration(TTL_MS)
-        out = held[EVENT_COLUMNS].iloc[::-1].reset_index(drop=True)
-        if n > 1:
-            out["rank"] = range(1, len(out) + 1)
-        yield out
-
-    return update
-
-
-def _stream(events: DataFrame, n: int, schema: str) -> DataFrame:
-    reduced = events.select(*EVENT_COLUMNS).mapInPandas(_combine(n), EVENT)
-    return reduced.groupBy("session_id").applyInPandasWithState(
-        _keep_last(n), schema, "events STRING", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
-def latest_progress_stream(events: DataFrame) -> DataFrame:
-    """Latest event per session of every trigger; state lives two hours."""
-    return _stream(events, 1, EVENT)
-
-
-def history_stream(events: DataFrame, n: int = HISTORY) -> DataFrame:
-    """Last ``n`` events of each session touched in a trigger, newest first."""
-    return _stream(events, n, f"{EVENT}, rank BIGINT")
-
-
 # --- live overlay and status -------------------------------------------------
 
 
@@ -298,15 +240,36 @@ def throttle_stream(events: DataFrame) -> DataFrame:
 # --- counters and display ----------------------------------------------------
 
 
-def message_counters(events: DataFrame) -> DataFrame:
+def _carried(counters: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counters of earlier events as a row before all ``rows`` of their session."""
+    known = {"total": "total_items", "current": "processed_items", "set_success": "successful_items", "set_failed": "failed_items"}
+    message = rows.schema["_m"].dataType
+    fields = [
+        (F.col(known[f.name]) if f.name in known else F.lit(0) if f.name.startswith("add_") else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in message
+    ]
+    given = {
+        "session_id": F.col("session_id"),
+        "ts": F.expr("timestamp_ntz'0001-01-01 00:00:00'").cast(rows.schema["ts"].dataType),
+        "event_id": F.lit(-1),
+        "_m": F.struct(*fields),
+    }
+    return counters.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
+def message_counters(events: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Events with the counters known after each of them.
 
     The first total stays; processed only grows; success and failure counts
     are set by a summary message and go up by one with each image message.
+    ``carried`` holds the counters of sessions before these events, if any.
     """
     keys, order = ["session_id"], [F.col("ts"), F.col("event_id")]
     hour = hour_slice()
     rows = events.withColumn("_m", parse_message(F.col("message"), F.col("stage")))
+    if carried is not None:
+        old = _carried(carried, rows).withColumn("_old", F.lit(True))
+        rows = rows.withColumn("_old", F.lit(False)).unionByName(old)
     place = F.struct("ts", "event_id")
     rows = running(
         rows,
@@ -329,6 +292,8 @@ def message_counters(events: DataFrame) -> DataFrame:
     def since(base: str, sums: str, at: str) -> Column:
         return F.coalesce(F.col(f"_set.{base}"), F.lit(0)) + F.col(sums) - F.coalesce(F.col(f"_set.{at}"), F.lit(0))
 
+    if carried is not None:
+        rows = rows.filter(~F.col("_old")).drop("_old")
     return rows.withColumns(
         {
             "progress": F.least(F.lit(100), F.greatest(F.lit(0), F.col("progress"))),

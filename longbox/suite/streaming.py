@@ -1,11 +1,12 @@
 """Queries over session progress, batch and streamed (inventory section 2.9)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longbox.plans import jobs
 from longbox.plans.bindings import AS_OF, AS_OF_EVENTS
 from longbox.sources.tables import shared_folder
-from longbox.streaming import arrivals
+from longbox.streaming import arrivals, current
 from longbox.streaming import progress as op
 from longbox.suite.registry import Suite
 
@@ -24,13 +25,6 @@ def streamed(t, name):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
-def event_stream(t):
-    rows = streamed(t, "events")
-    return rows.selectExpr(
-        "CAST(user_id AS STRING) AS session_id", "ts", "event_id", "event_type AS stage", "CAST(least(100, floor(value)) AS INT) AS progress",
-        "CASE event_type WHEN 'view' THEN 'waiting' ELSE 'Image 1/2' END AS message", "'PROCESSING' AS type", "CAST(NULL AS STRING) AS error")
-
-
 def finish(query):
     """Wait for a stream over all there is; a stuck one is stopped and fails."""
     if not query.awaitTermination(WAIT_S):
@@ -57,6 +51,30 @@ def drained(t, stream, purpose):
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+# Triggers that a stream of a query takes at least.
+TRIGGERS = 3
+FILES = 4
+
+
+def in_triggers(t, rows, part):
+    """``rows`` as a stream of ``TRIGGERS`` triggers: those whose ``part`` is 0 first, and so on."""
+    folder = shared_folder(t.spark, "triggers")
+    for i in range(TRIGGERS):
+        # Files of one trigger are in no order.
+        rows.filter(part == i).repartition(FILES).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+# Time-ordered slices of the events.
+CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
+BY_TIME = F.when(F.col("ts") < CUTS[0], 0).when(F.col("ts") < CUTS[1], 1).otherwise(2)
+BY_TIME_SQL = f"CASE WHEN ts < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END"
+
+
+def keyed(t, purpose, schema, key="session_id"):
+    return current.KeyedTable(t.spark, f"{shared_folder(t.spark, purpose)}/table", schema, key)
+
+
 LATEST = "SELECT * FROM events_bound QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) = 1"
 
 
@@ -67,7 +85,12 @@ def _(t):
 
 @q("s01_latest_progress_stream", f"SELECT session_id, event_id, stage, progress FROM ({LATEST}) x")
 def _(t):
-    return drained(t, op.latest_progress_stream(event_stream(t)), "latest").select("session_id", "event_id", "stage", "progress")
+    rows = t.events_bound
+    table = keyed(t, "latest", rows.schema)
+    # Late events too: a trigger may hold older ones than those before it.
+    stream = in_triggers(t, rows, F.col("event_id") % TRIGGERS)
+    finish(current.latest_stream(stream, table, f"{table.folder}-state"))
+    return table.current().select("session_id", "event_id", "stage", "progress")
 
 
 HISTORY = "SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rank FROM events_bound QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= {}"
@@ -80,22 +103,46 @@ def _(t):
 
 @q("s02_history_stream", HISTORY.format(20))
 def _(t):
-    return drained(t, op.history_stream(event_stream(t), 20), "history").select("session_id", "event_id", "rank")
+    rows = t.events_bound
+    table = keyed(t, "history", op.history(rows).schema)
+    stream = in_triggers(t, rows, F.col("event_id") % TRIGGERS)
+    finish(current.history_stream(stream, table, f"{table.folder}-state", 20))
+    return table.current().select("session_id", "event_id", "rank")
 
 
-@q("s03_overlay", f"""
+OVERLAY = f"""
     WITH l AS (SELECT session_id, type, error, stage, message, progress, CAST(session_id AS INT) % 10 AS m FROM ({LATEST}) x),
     j AS (SELECT p.*, l.type, l.error, l.stage, l.message, l.progress, l.m, p.state = 'PROCESSING' AND l.m IS NOT NULL AND l.m <= 5 AS hit FROM progress p LEFT JOIN l ON l.session_id = p.session_id)
     SELECT id, CASE WHEN hit AND type IN ('ERROR', 'COMPLETED') THEN type ELSE state END AS state, CASE WHEN hit THEN coalesce(error, error_message) ELSE error_message END AS error_message,
       CAST(CASE WHEN hit THEN greatest(percentage_complete, progress) ELSE percentage_complete END AS INTEGER) AS percentage_complete, CASE WHEN hit THEN stage ELSE current_stage END AS current_stage,
-      CAST(CASE WHEN hit THEN 12 ELSE total_items END AS INTEGER) AS total_items, CAST(CASE WHEN hit THEN m ELSE processed_items END AS INTEGER) AS processed_items, CAST(failed_items AS INTEGER) AS failed_items FROM j""")
-def _(t):
-    latest = op.latest_progress(t.events_bound).withColumns({
+      CAST(CASE WHEN hit THEN 12 ELSE total_items END AS INTEGER) AS total_items, CAST(CASE WHEN hit THEN m ELSE processed_items END AS INTEGER) AS processed_items, CAST(failed_items AS INTEGER) AS failed_items FROM j"""
+
+
+def overlay_live(rows):
+    return rows.withColumns({
         "ts": F.expr(f"timestamp_ntz'{AS_OF_EVENTS}' - make_dt_interval(0, 0, CAST(CAST(session_id AS INT) % 10 AS INT), 30)"),
         "props": F.expr("""concat('{"totalItems": "12", "processedItems": ', CAST(session_id AS INT) % 10, ', "failedItems": "x"}')"""),
     })
-    done = op.overlay(t.progress, latest, AS_OF_EVENTS)
-    return done.select("id", "state", "error_message", "percentage_complete", "current_stage", "total_items", "processed_items", "failed_items")
+
+
+SHOWN = ["id", "state", "error_message", "percentage_complete", "current_stage", "total_items", "processed_items", "failed_items"]
+
+
+@q("s03_overlay", OVERLAY)
+def _(t):
+    return op.overlay(t.progress, overlay_live(op.latest_progress(t.events_bound)), AS_OF_EVENTS).select(*SHOWN)
+
+
+@q("s03_overlay_stream", f"SELECT * FROM ({OVERLAY}) o WHERE id IN (SELECT id FROM progress WHERE session_id IN (SELECT session_id FROM events_bound))")
+def _(t):
+    # Events of a session get one age here, so the event number alone says which is the latest.
+    rows = overlay_live(t.events_bound.withColumn("event_id", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id"))))
+    latest = keyed(t, "live", rows.schema)
+    progress = t.progress.withColumn("status_message", F.lit(None).cast("string"))
+    shown = keyed(t, "shown", progress.schema)
+    stream = in_triggers(t, rows, F.col("event_id") % TRIGGERS)
+    finish(current.overlay_stream(stream, lambda: progress, latest, shown, f"{shown.folder}-state", AS_OF_EVENTS))
+    return shown.current().select(*SHOWN)
 
 
 @q("s04_stale", """
@@ -143,7 +190,7 @@ def _(t):
 COUNTED = "CASE WHEN stage = 'view' AND event_id % 17 = 0 THEN 'All completed: Successfully processed ' || (event_id % 3) || '/5' ELSE message END"
 
 
-@q("s06_message_counters", f"""
+COUNTERS = f"""
     WITH e AS (SELECT session_id, event_id, ts, row_number() OVER w AS n, CASE stage WHEN 'signup' THEN event_id % 9 + 1 END AS total,
       CASE stage WHEN 'signup' THEN event_id % 9 + 1 WHEN 'click' THEN event_id % 40 END AS cur,
       sum(CASE WHEN stage = 'purchase' THEN 1 ELSE 0 END) OVER w AS adds, sum(CASE WHEN stage = 'error' THEN 1 ELSE 0 END) OVER w AS fails,
@@ -151,20 +198,37 @@ COUNTED = "CASE WHEN stage = 'view' AND event_id % 17 = 0 THEN 'All completed: S
     s AS (SELECT *, max(CASE WHEN ok IS NOT NULL THEN n END) OVER w AS ln, first_value(total IGNORE NULLS) OVER w AS t1, nullif(max(cur) OVER w, 0) AS p FROM e WINDOW w AS (PARTITION BY session_id ORDER BY n))
     SELECT s.session_id, s.event_id, s.t1 AS total_items, s.p AS processed_items, CAST(coalesce(l.ok, 0) + s.adds - coalesce(l.adds, 0) AS BIGINT) AS successful_items,
       CAST(coalesce(5 - l.ok, 0) + s.fails - coalesce(l.fails, 0) AS BIGINT) AS failed_items
-    FROM s LEFT JOIN s l ON l.session_id = s.session_id AND l.n = s.ln""")
+    FROM s LEFT JOIN s l ON l.session_id = s.session_id AND l.n = s.ln"""
+
+
+def counted(rows):
+    big = [F.col(c).cast("bigint").alias(c) for c in ("total_items", "processed_items", "successful_items", "failed_items")]
+    return rows.select("session_id", "event_id", *big)
+
+
+@q("s06_message_counters", COUNTERS)
+def _(t):
+    return counted(op.message_counters(t.events_bound.withColumn("message", F.expr(COUNTED))))
+
+
+@q("s06_message_counters_stream", COUNTERS)
 def _(t):
     rows = t.events_bound.withColumn("message", F.expr(COUNTED))
-    big = [F.col(c).cast("bigint").alias(c) for c in ("total_items", "processed_items", "successful_items", "failed_items")]
-    return op.message_counters(rows).select("session_id", "event_id", *big)
+    table = keyed(t, "counters", t.spark.createDataFrame([], current.TRACKED).schema)
+    finish(current.counters_stream(in_triggers(t, rows, BY_TIME), table, f"{table.folder}-out", f"{table.folder}-state"))
+    return counted(t.spark.read.parquet(f"{table.folder}-out"))
 
 
-@q("s07_apply_lifecycle", """
+LIFECYCLE = """
     WITH k AS (SELECT *, id % 3 = 0 AS fresh, id % 4 = 0 AS done, id % 5 = 0 AS err FROM progress)
     SELECT session_id, CASE WHEN err AND (NOT done OR id % 2 = 0) THEN 'ERROR' WHEN done THEN 'COMPLETED' WHEN fresh THEN 'PROCESSING' ELSE state END AS state,
       CASE WHEN fresh THEN 7 ELSE series_id END AS series_id, CASE WHEN done THEN 100 WHEN fresh THEN NULL ELSE percentage_complete END AS percentage_complete,
       CASE WHEN err THEN 'bad' WHEN fresh THEN NULL ELSE error_message END AS error_message,
-      CASE WHEN done THEN '2001-12-01 00:00:00' WHEN fresh THEN NULL ELSE CAST(time_finished AS VARCHAR) END AS time_finished FROM k""")
-def _(t):
+      CASE WHEN done THEN '2001-12-01 00:00:00' WHEN fresh THEN NULL ELSE CAST(time_finished AS VARCHAR) END AS time_finished FROM k"""
+
+
+def lifecycle_rows(t):
+    """Progress known before, and the events of what comes."""
     known = t.progress.filter("id % 3 <> 0")
     blank = {c: "CAST(NULL AS INT)" for c in op.RESULT_FIELDS} | {"current_stage": "CAST(NULL AS STRING)", "status_message": "CAST(NULL AS STRING)"}
 
@@ -181,10 +245,30 @@ def _(t):
         .unionByName(event("error", t.progress.filter("id % 5 = 0"), f"{day} + make_dt_interval(CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END)"))
     )
     # No session is both unknown and never started: those rows stay away.
-    return op.apply_lifecycle(known, events).select(
+    return known, events
+
+
+def lifecycle(rows):
+    return rows.select(
         "session_id", "state", "series_id", F.col("percentage_complete").cast("bigint").alias("percentage_complete"), "error_message", text("time_finished"))
 
 
+@q("s07_apply_lifecycle", LIFECYCLE)
+def _(t):
+    return lifecycle(op.apply_lifecycle(*lifecycle_rows(t)))
+
+
+@q("s07_lifecycle_stream", LIFECYCLE)
+def _(t):
+    known, events = lifecycle_rows(t)
+    table = keyed(t, "progress", known.schema)
+    table.upsert(-1, known, current.replaced("session_id"))
+    day = F.expr(f"timestamp_ntz'{AS_OF}'")
+    stream = in_triggers(t, events, F.when(F.col("ts") < day, 0).when(F.col("ts") == day, 1).otherwise(2))
+    finish(current.lifecycle_stream(stream, table, f"{table.folder}-state"))
+    return lifecycle(table.current())
+
+
 @q("s08_auto_times", """
     SELECT session_id, CAST(min(ts) FILTER (type = 'PROCESSING') AS VARCHAR) AS time_started, CAST(min(ts) FILTER (type IN ('COMPLETED', 'ERROR')) AS VARCHAR) AS time_finished
     FROM events_bound GROUP BY 1""")
@@ -209,6 +293,25 @@ def _(t):
     return op.expire(t.events_bound, "2024-01-20 00:00:00").select("event_id")
 
 
+# A session expires in a trigger without events of its own, once the watermark of the
+# triggers before is two hours past its last event; the last trigger has none at all.
+@q("s10_expired_stream", f"""
+    WITH s AS (SELECT session_id, {BY_TIME_SQL} AS part, max(ts) AS last FROM events_bound GROUP BY 1, 2),
+    mark AS (SELECT p.part, max(s.last) AS mark FROM s JOIN (VALUES (0), (1), (2)) p(part) ON s.part <= p.part GROUP BY 1),
+    n AS (SELECT *, lead(part, 1, 4) OVER (PARTITION BY session_id ORDER BY part) AS next FROM s)
+    SELECT session_id, CAST(last AS VARCHAR) AS last FROM n JOIN mark ON mark.part = n.next - 2
+    WHERE n.next - n.part >= 2 AND n.last + INTERVAL 2 HOUR <= mark.mark""")
+def _(t):
+    rows = t.events_bound.select("session_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder = shared_folder(t.spark, "expired")
+    expired = current.expired_stream(in_triggers(t, rows, BY_TIME), hours=2)
+    finish(
+        expired.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    return t.spark.read.schema(expired.schema).parquet(f"{folder}/out").select("session_id", F.col("last").cast("timestamp_ntz").cast("string").alias("last"))
+
+
 @q("s11_status", f"""
     WITH l AS (SELECT session_id, type, stage, progress, message, CAST(session_id AS INT) AS s FROM ({LATEST}) x),
     i AS (SELECT CAST(c_custkey AS VARCHAR) AS session_id FROM customer)
@@ -240,7 +343,10 @@ UNSEEN = "SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'retry' END AS decisio
 def _(t):
     folder = shared_folder(t.spark, "arrivals")
     ledger = t.files.filter("id % 3 <> 0")
-    query = arrivals.arrivals(listed(streamed(t, "documents")), ledger, f"{folder}/ledger", f"{folder}/state")
+    # Every listing after the first repeats files of the one before.
+    rows = listed(t.documents)
+    twice = rows.withColumn("part", F.col("id") % TRIGGERS).unionByName(rows.withColumn("part", F.least(F.col("id") % TRIGGERS + 1, F.lit(TRIGGERS - 1))))
+    query = arrivals.arrivals(in_triggers(t, twice, F.col("part")), ledger, f"{folder}/ledger", f"{folder}/state")
     finish(query)
     return t.spark.read.parquet(f"{folder}/ledger").select("id", "decision")
 

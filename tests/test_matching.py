@@ -2,9 +2,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from longbox.operators import matching, review
+from longbox.operators.forest import KdForest
 
 DDL = (
     "session_id STRING, image_id BIGINT, role STRING, detector STRING, kp_id BIGINT, x DOUBLE, y DOUBLE, "
@@ -43,7 +45,7 @@ IMAGES = [("a", 1, "query", "sift", 7), ("a", 2, "candidate", "sift", 23), ("a",
 
 
 @pytest.mark.parametrize("block", [4, 2048])
-@pytest.mark.parametrize("k", [1, 2])
+@pytest.mark.parametrize("k", [1, 2, 5])
 def test_knn_equals_brute_force_whole_and_split(spark, block, k):
     rows = descriptors(IMAGES)
     got = matching.knn(spark.createDataFrame(rows, DDL), k, block).collect()
@@ -63,12 +65,43 @@ def test_gate_drops_small_images(spark):
     assert kept == {(1, "sift"), (3, "akaze")}
 
 
-def test_approximate_neighbours_are_near(spark):
-    rows = descriptors([("a", 1, "query", "sift", 20), ("a", 2, "candidate", "sift", 60)], size=8)
+def test_forest_finds_most_neighbours(spark):
+    draw = random.Random(5)
+    centres = [[draw.uniform(0, 100) for _ in range(16)] for _ in range(60)]
+    points = [[v + draw.gauss(0, 4) for v in draw.choice(centres)] for _ in range(1200)]
+    rows = [("s", 1 if i < 200 else 2 + i % 2, "query" if i < 200 else "candidate", "sift", i, 0.0, 0.0, p, None) for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, DDL)
-    exact = brute(rows, 1)
-    got = {(r["query_kp"], r["candidate_id"], 1, r["candidate_kp"], round(r["distance"], 6)) for r in matching.knn_approx(df, 1, tables=8, width=40.0, dimensions=8).collect()}
-    assert len(got & exact) >= 0.8 * len(exact)
+    exact = matching.knn(df, 3)
+    assert exact.count() == 200 * 2 * 3
+    measured = matching.recall(matching.knn_approx(df, 3), exact).collect()
+    assert [(r["detector"], r["n_exact"]) for r in measured] == [("sift", 1200)] and measured[0]["recall"] >= 0.9
+
+
+def test_forest_of_few_and_equal_points():
+    same = KdForest(np.ones((9, 3)))
+    at, far = same.search(np.zeros((2, 3)), 4)
+    assert at.tolist() == [[0, 1, 2, 3]] * 2 and np.allclose(far, np.sqrt(3))
+    points = np.random.default_rng(1).normal(size=(40, 5))
+    at, far = KdForest(points).search(points, 60, checks=1000)
+    exact = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    assert np.allclose(far[:, 0], 0) and at.shape == (40, 40)
+    assert np.allclose(far[:, :5], np.sort(exact, axis=1)[:, :5])
+
+
+def test_near_ties_beyond_the_shortlist_are_exact():
+    # Far from the origin the product cannot tell these rows apart.
+    c = np.full((30, 8), 1e6)
+    c[:, 0] += np.arange(30)[::-1] * 1e-3
+    at, far = matching._nearest(np.full((1, 8), 1e6), c, False, 3)
+    assert at.tolist() == [[29, 28, 27]] and np.allclose(far, [[0, 1e-3, 2e-3]], atol=1e-9)
+
+
+def test_rules_take_one_or_two_neighbours(spark):
+    df = spark.createDataFrame([], DDL)
+    with pytest.raises(ValueError, match="one or two"):
+        matching.neighbours(df, df, 3)
+    with pytest.raises(ValueError, match="1 or more"):
+        matching.knn(df, 0)
 
 
 def good(spark, n, moved=0.0, places=True):

@@ -93,23 +93,6 @@ def test_overlay_and_stale(spark):
     assert sorted(r["id"] for r in op.stale(table, as_of, strict=True).collect()) == [0, 1]
 
 
-def test_streams_keep_state_over_triggers(spark, tmp_path):
-    ddl = op.EVENT
-    for i, batch in enumerate([[1, 2, 3], [4, 5], [6]]):
-        rows = [("a", START + dt.timedelta(seconds=e), e, "x", e, "w", "PROCESSING", None) for e in batch]
-        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
-    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    try:
-        query = (op.history_stream(source, 2).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-                 .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
-        assert query.awaitTermination(120)
-    finally:
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    out = [(r["rank"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert sorted(out) == [(1, 3), (1, 5), (1, 6), (2, 2), (2, 4), (2, 5)]
-
-
 def test_throttle_stream_does_not_depend_on_arrow_batches(spark, tmp_path):
     from pyspark.sql import functions as F
 
