@@ -67,7 +67,12 @@ def in_triggers(t, rows, part):
 
 # Time-ordered slices of the events.
 CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
-BY_TIME = F.when(F.col("ts") < CUTS[0], 0).when(F.col("ts") < CUTS[1], 1).otherwise(2)
+
+
+def by_time():
+    return F.when(F.col("ts") < CUTS[0], 0).when(F.col("ts") < CUTS[1], 1).otherwise(2)
+
+
 BY_TIME_SQL = f"CASE WHEN ts < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END"
 
 
@@ -215,7 +220,7 @@ def _(t):
 def _(t):
     rows = t.events_bound.withColumn("message", F.expr(COUNTED))
     table = keyed(t, "counters", t.spark.createDataFrame([], current.TRACKED).schema)
-    finish(current.counters_stream(in_triggers(t, rows, BY_TIME), table, f"{table.folder}-out", f"{table.folder}-state"))
+    finish(current.counters_stream(in_triggers(t, rows, by_time()), table, f"{table.folder}-out", f"{table.folder}-state"))
     return counted(t.spark.read.parquet(f"{table.folder}-out"))
 
 
@@ -304,7 +309,7 @@ def _(t):
 def _(t):
     rows = t.events_bound.select("session_id", F.col("ts").cast("timestamp").alias("ts"))
     folder = shared_folder(t.spark, "expired")
-    expired = current.expired_stream(in_triggers(t, rows, BY_TIME), hours=2)
+    expired = current.expired_stream(in_triggers(t, rows, by_time()), hours=2)
     finish(
         expired.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start()
