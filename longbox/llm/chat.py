@@ -5,10 +5,11 @@ conv_id, turn, role, text.
 
 Grammar: a turn is an opening mark, its text, and ``</s>``. The mark is
 ``[INST]`` for a user, ``[/INST]`` for an assistant, and ``[ROLE]name[:]`` for
-any other role. A backslash makes the next character plain text. Each turn is
-rendered plainly, parsed again and compared; only where that does not give the
-turn back, the next way of escaping is tried: first backslashes before control
-strings, then all backslashes too. Every rendered turn ends at its first
+any other role. A backslash makes the next character plain text, and no control
+string may stand in a text or a role's name: the parser gives neither for such
+a turn. Each turn is rendered plainly, parsed again and compared; only where
+that does not give the turn back, the next way of escaping is tried: first
+backslashes inside control strings, then all backslashes too. Every rendered turn ends at its first
 ``</s>``, so turns that read back alone read back in any sequence.
 
 All work is in DataFrame functions. A conversation is written in parts of a
@@ -27,6 +28,8 @@ PART = 256
 USER, ASSISTANT = "user", "assistant"
 OPEN = {USER: "[INST]", ASSISTANT: "[/INST]"}
 OTHER, NAMED, END = "[ROLE]", "[:]", "</s>"
+# What the grammar keeps for itself.
+CONTROL = r"</?s>|\[/?INST\]|\[ROLE\]|\[:\]"
 
 
 def _plain(text: Column) -> Column:
@@ -57,18 +60,23 @@ def render(role: Column, text: Column, escape=_plain) -> Column:
     return F.concat(mark, escape(text), F.lit(END))
 
 
+def _said(raw: Column) -> Column:
+    return F.when(~F.rlike(raw, F.lit(CONTROL)), unescape(raw))
+
+
 def _turn(piece: Column) -> Column:
-    """Struct (role, text, raw) of what stands between two ends."""
+    """Struct (role, text, raw) of what stands between two ends; null for a role or text with a control string."""
     named = F.instr(piece, NAMED)
     body = lambda mark: F.substr(piece, F.lit(len(mark) + 1))
+    name = F.substr(piece, F.lit(len(OTHER) + 1), F.greatest(named - F.lit(len(OTHER) + 1), F.lit(0)))
     other = F.struct(
-        unescape(F.substr(piece, F.lit(len(OTHER) + 1), F.greatest(named - F.lit(len(OTHER) + 1), F.lit(0)))).alias("role"),
+        _said(name).alias("role"),
         F.substr(piece, named + F.lit(len(NAMED))).alias("raw"),
     )
     found = other
-    for name, mark in OPEN.items():
-        found = F.when(F.startswith(piece, F.lit(mark)), F.struct(F.lit(name).alias("role"), body(mark).alias("raw"))).otherwise(found)
-    return F.struct(found["role"].alias("role"), unescape(found["raw"]).alias("text"), found["raw"].alias("raw"))
+    for role, mark in OPEN.items():
+        found = F.when(F.startswith(piece, F.lit(mark)), F.struct(F.lit(role).alias("role"), body(mark).alias("raw"))).otherwise(found)
+    return F.struct(found["role"].alias("role"), _said(found["raw"]).alias("text"), found["raw"].alias("raw"))
 
 
 def _pieces(formatted: Column) -> Column:

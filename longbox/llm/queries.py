@@ -76,15 +76,12 @@ def _(t):
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
-CONTROL = r"</?s>|\[/?INST\]|\[ROLE\]|\[:\]"
-
-
 @q("op4_chat_formatting", rf"""
     WITH rows AS (
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
     marked AS (
-      SELECT *, len(regexp_extract_all(text, '{CONTROL}')) AS marks,
+      SELECT *, len(regexp_extract_all(text, '{chat.CONTROL}')) AS marks,
         CASE role WHEN 'user' THEN 6 WHEN 'assistant' THEN 7 ELSE 9 + length(role) END + length(text) + 4 AS plain
       FROM rows),
     said AS (
@@ -92,7 +89,7 @@ CONTROL = r"</?s>|\[/?INST\]|\[ROLE\]|\[:\]"
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
         sum(plain + CASE WHEN regexp_matches(text, '(?s)\\.') THEN marks + length(text) - length(replace(text, chr(92), ''))
-          WHEN contains(text, '</s>') THEN marks ELSE 0 END) AS chars
+          ELSE marks END) AS chars
       FROM marked GROUP BY conv_id)
     SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
       CAST(chars AS BIGINT) AS formatted_chars FROM said""")
