@@ -3,7 +3,9 @@
 Descriptions are the training side. Each batch of them is a shard with a suffix
 array over its words; every suffix of every evaluation item is looked up in it
 by binary search, all of them at once. Suffixes that agree on a window of ten
-words are matches; those on one diagonal join to the longest verbatim match.
+words are hits. A text and an item with hits share one more suffix array, which
+gives the longest verbatim match from each hit word; nothing lists the places of
+an item times those of a text.
 
 A word that no item has cannot be part of a match, so the array holds the
 suffixes of the stretches between such words only, and of those only stretches
@@ -40,24 +42,33 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """Word numbers (from 1) and the distinct windows of some evaluation items."""
+    """Word numbers (from 1), words and distinct windows of some evaluation items."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]]):
         self.number: dict[bytes, int] = {}
-        places: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+        self.ids, self.words = [], []
+        # For each width its windows by number; and which windows an item has, in order.
+        tables: dict[int, dict[tuple[int, ...], int]] = {}
+        self.has: list[np.ndarray] = []
         for item_id, own in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in own]
             width = min(WINDOW, len(ids))
-            table = places.setdefault(width, {})
-            for at in range(len(ids) - width + 1 if width else 0):
-                table.setdefault(tuple(ids[at : at + width]), []).append((item_id, at))
-        # For each width: the windows, and where the items have them.
+            if not width:
+                continue
+            table = tables.setdefault(width, {})
+            found = {table.setdefault(tuple(ids[at : at + width]), len(table)) for at in range(len(ids) - width + 1)}
+            self.ids.append(item_id)
+            self.words.append(np.array(ids, np.int64))
+            self.has.append(np.array(sorted(found), np.int64))
+        widths = np.array([min(WINDOW, len(w)) for w in self.words], np.int64)
+        # For each width: the windows, and the items that have each of them.
         self.windows = []
-        for width, table in sorted(places.items()):
-            if width:
-                at = np.array([p for found in table.values() for p in found], np.int64)
-                stops = np.cumsum([0] + [len(found) for found in table.values()])
-                self.windows.append((width, np.array(list(table), np.int32), at, stops))
+        for width, table in sorted(tables.items()):
+            own = np.flatnonzero(widths == width)
+            window = np.concatenate([self.has[i] for i in own])
+            item = np.repeat(own, [len(self.has[i]) for i in own])
+            stops = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=len(table)))])
+            self.windows.append((width, np.array(list(table), np.int32), item[np.argsort(window, kind="stable")], stops))
         self.shortest = min((w[0] for w in self.windows), default=0)
 
 
@@ -130,28 +141,90 @@ def _covered(starts: np.ndarray, stops: np.ndarray, owner: np.ndarray, n: int) -
     return total
 
 
+def _longest(item: np.ndarray, text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``places`` in ``text`` the length and the place in ``item`` of the longest match from there.
+
+    Item and text are put in one order of suffixes by doubling; the longest match
+    of a place is with one of the nearest suffixes of the item, before or after it.
+    """
+    ends = np.array([-1], np.int64), np.array([-2], np.int64)
+    joined = np.concatenate([item, ends[0], text, ends[1]])
+    n, depth = len(joined), 1
+    ranks = [np.unique(joined, return_inverse=True)[1].astype(np.int64) + 1]
+    while depth < min(len(item), len(text)) and ranks[-1].max() < n:
+        later = np.zeros(n, np.int64)
+        later[: n - depth] = ranks[-1][depth:]
+        ranks.append(np.unique(ranks[-1] * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1)
+        depth *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    nth = np.empty(n, np.int64)
+    nth[order] = np.arange(n)
+    ours = order < len(item)
+    before = np.maximum.accumulate(np.where(ours, np.arange(n), -1))
+    after = np.minimum.accumulate(np.where(ours, np.arange(n), n)[::-1])[::-1]
+    start = places + len(item) + 1
+    best, where = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for near in (before[nth[start]], after[nth[start]]):
+        real = (near >= 0) & (near < n)
+        at = order[np.where(real, near, 0)]
+        length = np.zeros(len(places), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):
+            rank = ranks[level]
+            # Two lengths of a level: all levels below give one less than this one.
+            for _ in range(2 if level == len(ranks) - 1 else 1):
+                a, b = np.minimum(start + length, n - 1), np.minimum(at + length, n - 1)
+                length += np.where(real & (rank[a] == rank[b]) & (a != b), 1 << level, 0)
+        better = length > best
+        best, where = np.where(better, length, best), np.where(better, at, where)
+    return best, where
+
+
 def _matches(items: Items, texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text its hit words; and rows (text, item, item word, word, length), the texts of the rows."""
+    """Per text its hit words; and rows (item, item word, word, length), the texts of the rows."""
     shard = Shard(texts, items.shortest)
-    parts = []
-    for width, windows, at, stops in items.windows:
+    starts, stops, owners, hits = [], [], [], []
+    for at, (width, windows, _, _) in enumerate(items.windows):
         which, place = shard.find(windows)
         owner = np.searchsorted(shard.starts, place, side="right") - 1
-        many = stops[which + 1] - stops[which]
-        source = np.repeat(stops[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        parts.append(np.column_stack([np.repeat(owner, many), at[source], np.repeat(place, many), np.full(len(source), width)]))
-    rows = np.concatenate(parts) if parts else np.empty((0, 5), np.int64)
-    hit = _covered(rows[:, 3], rows[:, 3] + rows[:, 4], rows[:, 0], len(texts))
-    # Neighbours on one diagonal (same text, item and shift) are one match.
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 3] - rows[:, 2], rows[:, 1], rows[:, 0]))]
-    step = np.diff(rows, axis=0)
-    same = (step[:, 0] == 0) & (step[:, 1] == 0) & (step[:, 2] == 1) & (step[:, 3] == 1)
-    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(rows) else np.empty(0, np.int64)
-    last = np.concatenate([first[1:], [len(rows)]])[: len(first)] - 1
-    joined = rows[first]
-    joined[:, 4] += rows[last, 3] - rows[first, 3]
-    joined[:, 3] -= shard.starts[joined[:, 0]]
-    return hit, joined[:, 0], joined[:, 1:]
+        starts, stops, owners = [*starts, place], [*stops, place + width], [*owners, owner]
+        order = np.lexsort((place, owner))
+        hits += [(o, at, which[part], place[part]) for o, part in _by_owner(owner[order], order)]
+    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, stops, owners)]
+    rows, texts_of = [np.empty((0, 4), np.int64)], []
+    for owner, at, which, place in sorted(hits, key=lambda h: h[:2]):
+        width, _, having, bounds = items.windows[at]
+        own = np.asarray(texts[owner], np.int64)
+        for item in np.unique(np.concatenate([having[bounds[w] : bounds[w + 1]] for w in np.unique(which)])):
+            mine = place[np.isin(which, items.has[item])] - shard.starts[owner]
+            found = _longest_of(items.words[item], own, mine, width)
+            rows.append(np.column_stack([np.full(len(found), items.ids[item]), found]))
+            texts_of += [owner] * len(found)
+    return _covered(*flat, len(texts)), np.array(texts_of, np.int64), np.concatenate(rows)
+
+
+def _by_owner(owner: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(owner, its part of ``order``), ``owner`` being sorted."""
+    if len(owner):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield int(owner[a]), order[a:b]
+
+
+def _longest_of(item: np.ndarray, text: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Rows (item word, word, length): matches from ``places`` that no longer one of the item holds."""
+    # Stretches of hit words, of which the text between has no part.
+    fresh = np.concatenate([[True], np.diff(places) > width])
+    firsts = places[fresh]
+    lasts = places[np.concatenate([np.flatnonzero(fresh)[1:], [len(places)]]) - 1] + width
+    shift = np.cumsum(fresh) - 1
+    lengths = lasts - firsts
+    bases = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+    # What parts two stretches is a word of no item, each time another one.
+    parts = [np.append(text[a:b], -3 - i) for i, (a, b) in enumerate(zip(firsts, lasts))]
+    best, where = _longest(item, np.concatenate(parts), places - firsts[shift] + bases[shift])
+    reach = places + best
+    longest = np.concatenate([[True], reach[1:] > reach[:-1]])
+    return np.column_stack([where, places, best])[longest]
 
 
 def find(text: Column, items) -> Column:
@@ -192,23 +265,27 @@ def contamination(issues: DataFrame, evaluation: DataFrame) -> DataFrame:
 
     ``evaluation``: item_id, text. Words are runs of digits, letters a-z (A-Z
     count as such) and non-ASCII characters. A window is ten words of an item in
-    a row, or the whole of a shorter item. ``matches`` lists the longest
-    verbatim matches that contain a window: item_id, item_word and word (offsets
-    from 0 in item and description), n_words; ``n_hit`` counts the words of the
+    a row, or the whole of a shorter item. ``matches`` lists for each item the
+    verbatim matches that contain a window and lie in no longer match of that
+    item: item_id, item_word and word (offsets from 0 in item and description;
+    one place of the item, if it has several), n_words; ``n_hit`` counts the words of the
     description inside any occurrence of a window. Descriptions null or without
     words have none. Items without an id, null or without words take no part;
     items of equal id are listed under it. One row per issue; no items or no
     issues give no matches or no rows. Other columns are ignored.
     """
     spark = issues.sparkSession
-    out = None
+    out = held = None
     for items in _blocks(evaluation):
-        held = spark.sparkContext.broadcast(items)
         if out is None:
+            held = spark.sparkContext.broadcast(items)
             out = issues.select("id", "description", find(F.col("description"), held).alias("found"))
             continue
-        # A further block: hit words can overlap those of the blocks before.
-        more = stored(out, "found").select("id", "description", "found", find(F.col("description"), held).alias("more"))
+        # A further block: hit words can overlap those of the blocks before, which are done with once stored.
+        before = stored(out, "found")
+        held.destroy()
+        held = spark.sparkContext.broadcast(items)
+        more = before.select("id", "description", "found", find(F.col("description"), held).alias("more"))
         matches = F.array_union("found.matches", "more.matches")
         out = more.select(
             "id", "description", F.struct("found.n_words", _hit(matches).alias("n_hit"), matches.alias("matches")).alias("found")
@@ -229,7 +306,11 @@ def _hit(matches: Column) -> Column:
 
 def without_contaminated(issues: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Rows of ``issues`` (all columns) that hold no window of any item."""
+    held = None
     for items in _blocks(evaluation):
+        if held is not None:
+            issues = stored(issues, "clean")
+            held.destroy()
         held = issues.sparkSession.sparkContext.broadcast(items)
         issues = issues.filter(find(F.col("description"), held)["n_hit"] == 0)
     return issues

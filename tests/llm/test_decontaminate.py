@@ -75,3 +75,45 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(issues.limit(0), evaluation).count() == 0
     assert decontaminate.contamination(issues, evaluation.limit(0)).select("id", "n_words", "n_hit", F.size("matches")).first()[:] == (1, 2, 0, 0)
     assert decontaminate.without_contaminated(issues, evaluation.limit(0)).count() == 1
+
+
+def brute_longest(text, item):
+    """(word, n_words) of the matches from every window hit that no earlier one reaches beyond."""
+    width, out, reach = min(10, len(item)), [], -1
+    for at in range(len(text) - width + 1):
+        lengths = [0]
+        for there in range(len(item)):
+            n = 0
+            while at + n < len(text) and there + n < len(item) and text[at + n] == item[there + n]:
+                n += 1
+            lengths.append(n)
+        if max(lengths) >= width and at + max(lengths) > reach:
+            out.append((at, max(lengths)))
+            reach = at + max(lengths)
+    return out
+
+
+def test_longest_matches_equal_brute_force():
+    draw = random.Random(3)
+    for _ in range(200):
+        few = draw.choice([1, 2, 3, 8])
+        item = [b"w%d" % draw.randrange(few) for _ in range(draw.randrange(1, 40))]
+        text = [b"w%d" % draw.randrange(few + 1) for _ in range(draw.randrange(60))]
+        for _ in range(draw.randrange(3)):
+            start, at = draw.randrange(len(item)), draw.randrange(len(text) + 1)
+            text[at:at] = item[start : start + draw.randrange(30)]
+        items = decontaminate.Items([(7, item)])
+        hit, owner, rows = decontaminate._matches(items, [[], [items.number.get(w, 0) for w in text], []])
+        assert [(w, n) for _, _, w, n in rows.tolist()] == brute_longest(text, item) and set(owner) <= {1}
+        assert all(i == 7 and item[q : q + n] == text[w : w + n] for i, q, w, n in rows.tolist())
+        covered = {p for w, n in brute_longest(text, item) for p in range(w, w + n)}
+        assert hit.tolist() == [0, len(covered), 0]
+
+
+def test_repeated_words_take_no_product_of_places():
+    import tracemalloc
+    items = decontaminate.Items([(1, [b"a"] * 5000)])
+    tracemalloc.start()
+    hit, _, rows = decontaminate._matches(items, [[1] * 20000])
+    assert hit.tolist() == [20000] and len(rows) == 15001 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
