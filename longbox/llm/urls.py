@@ -8,7 +8,9 @@ differ significantly are one branch. The leaves are templates; one whose
 labelled urls are mostly bad, smoothed by the rate of all, is rejected.
 
 A level of all trees is one aggregation over (host, node, segment) counts, so a
-host with a third of all urls is only ever counts.
+host with a third of all urls is only ever counts. What all paths of a node have
+in common next is taken in one step, so there are as many rounds as places where
+paths part, not as segments.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ ERRORS = 1.96
 PRIOR = 4.0
 PURITY = 0.5
 ALLOW, BLOCK = "allow", "block"
+# Parts that the counts of a hot node are spread over when they meet their totals.
+PARTS = 16
 
 
 def host(url: Column) -> Column:
@@ -89,19 +93,47 @@ def _kept(counts: DataFrame) -> DataFrame:
     )
     differs = F.when(tested & (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled")), ratio >= F.log(F.col("_tested") / LEVEL))
     common = F.col("n") >= COMMON * F.col("_n")
-    return counts.join(totals, ["host", "node"]).filter(common | F.coalesce(differs, F.lit(False))).select(*counts.columns)
+    salted = counts.withColumn("_part", F.pmod(F.xxhash64("segment"), F.lit(PARTS)))
+    totals = totals.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return salted.join(totals, ["host", "node", "_part"]).filter(common | F.coalesce(differs, F.lit(False))).select(*counts.columns)
 
 
-def _level(nodes: DataFrame, depth: int) -> DataFrame:
-    """Branch of each segment at ``depth``: (host, node, segment, branch).
+def _name(segment: Column) -> Column:
+    """A segment in a template, where ``*``, ``|`` and ``...`` have a meaning of their own."""
+    marked = F.regexp_replace(segment, r"([\\|*])", r"\\$1")
+    return F.when(segment == "...", F.lit("\\...")).otherwise(marked)
 
-    ``nodes``: host, node, segments, n, labelled, bad, one row per distinct path
-    so far. Segments that stay are in order of their share of bad urls, and a
+
+def _extended(node: Column, segments: Column) -> Column:
+    return F.concat(node, F.array_join(F.transform(segments, lambda x: F.concat(F.lit("/"), _name(x))), ""))
+
+
+def _common(nodes: DataFrame) -> DataFrame:
+    """``nodes`` moved past the segments that all their paths have in common next.
+
+    Such a segment has all the urls of its node, so it stays and is a branch of
+    its own. The first and last path of a node in order tell what all share.
+    """
+    ends = nodes.groupBy("host", "node").agg(F.min("rest").alias("_a"), F.max("rest").alias("_b"))
+    differs = F.array_position(F.zip_with("_a", "_b", lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(differs > 0, differs - 1).otherwise(F.size("_a")).cast("int")
+    moved = ends.select("host", "node", shared.alias("_n"), _extended(F.col("node"), F.slice("_a", 1, shared)).alias("_to"))
+    moved = moved.filter("_n > 0")
+    rest = F.slice("rest", F.col("_n") + 1, F.greatest(F.size("rest") - F.col("_n"), F.lit(0)))
+    joined = nodes.join(moved, ["host", "node"], "left")
+    return joined.withColumns({"node": F.coalesce("_to", "node"), "rest": F.when(F.col("_n").isNull(), F.col("rest")).otherwise(rest)}).drop("_n", "_to")
+
+
+def _level(nodes: DataFrame) -> DataFrame:
+    """Branch of the next segment of each path: (host, node, segment, branch).
+
+    ``nodes``: host, node, rest (segments), n, labelled, bad, one row per distinct
+    path. Segments that stay are in order of their share of bad urls, and a
     branch goes on as long as neighbours do not differ; the rest are ``*``.
     """
     counts = (
-        nodes.filter(F.size("segments") > depth)
-        .groupBy("host", "node", F.col("segments")[depth].alias("segment"))
+        nodes.filter(F.size("rest") > 0)
+        .groupBy("host", "node", F.col("rest")[0].alias("segment"))
         .agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     )
     share = (F.col("bad") + 0.5) / (F.col("labelled") + 1)
@@ -131,7 +163,7 @@ def _level(nodes: DataFrame, depth: int) -> DataFrame:
     # A branch is called after its segments, a single one after itself; the first ones tell branches apart.
     order = Window.partitionBy("host", "node", "branch").orderBy("segment")
     first = named.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= NAMED + 1)
-    parts = F.array_sort(F.collect_list("segment"))
+    parts = F.transform(F.array_sort(F.collect_list("segment")), _name)
     called = F.when(F.size(parts) > NAMED, F.concat(F.slice(parts, 1, NAMED), F.array(F.lit("...")))).otherwise(parts)
     names = first.groupBy("host", "node", "branch").agg(F.array_join(called, "|").alias("name"))
     return named.join(names, ["host", "node", "branch"]).select("host", "node", "segment", "name")
@@ -148,15 +180,16 @@ def templates(urls: DataFrame) -> DataFrame:
     nodes = urls.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.sum(held).alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("bad")
     )
-    nodes = stored(nodes.withColumns({"segments": F.split("path", "/"), "node": F.lit("")}), "paths")
-    depth, deepest = 0, nodes.agg(F.max(F.size("segments"))).first()[0] or 0
-    while depth < deepest:
-        level = _level(nodes, depth)
-        segment = F.when(F.size("segments") > depth, F.col("segments")[depth])
-        placed = nodes.withColumn("segment", segment).join(level, ["host", "node", "segment"], "left")
-        step = F.concat("node", F.lit("/" if depth else ""), F.coalesce("name", F.lit("*")))
-        nodes = stored(placed.withColumn("node", F.when(segment.isNull(), F.col("node")).otherwise(step)).drop("segment", "name"), "paths")
-        depth += 1
+    # Every step writes its slash, so the first character of a node is no part of its template.
+    nodes = stored(_common(nodes.withColumns({"rest": F.split("path", "/"), "node": F.lit("")})), "paths")
+    while not nodes.filter(F.size("rest") > 0).isEmpty():
+        segment = F.when(F.size("rest") > 0, F.col("rest")[0])
+        placed = nodes.withColumn("segment", segment).join(_level(nodes), ["host", "node", "segment"], "left")
+        step = F.concat("node", F.lit("/"), F.coalesce("name", F.lit("*")))
+        rest = F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))
+        moved = placed.withColumns({"node": F.when(segment.isNull(), F.col("node")).otherwise(step), "rest": rest})
+        nodes = stored(_common(moved.drop("segment", "name")), "paths")
+    nodes = nodes.withColumn("node", F.substr("node", F.lit(2)))
     leaves = nodes.groupBy("host", F.col("node").alias("template")).agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )

@@ -70,3 +70,72 @@ def test_small_sections_are_judged_by_their_labels(spark):
     named = {tuple(r) for r in urls.templates(parts).select("host", "template", "n").distinct().collect()}
     # chance does not make an id a template; a branch of 70 segments has a short name
     assert ("c.com", "/*/*", 1000) in named and max(len(t) for _, t, _ in named) < 120
+
+
+def levels(rows):
+    """Templates by host and path, segment by segment in plain Python."""
+    import math
+    trees, out = {}, {}
+    for host, path, bad in rows:
+        trees.setdefault((host, "", 0), {}).setdefault(path, []).append(bad)
+    name = lambda x: "\\..." if x == "..." else "".join("\\" + c if c in "\\|*" else c for c in x)
+    log = lambda a, b: a * math.log(a / b) if a else 0.0
+    while trees:
+        later = {}
+        for (host, node, depth), paths in trees.items():
+            by = {}
+            for path, bads in paths.items():
+                parts = path.split("/")
+                if len(parts) == depth:
+                    out[host, path] = node[1:]
+                else:
+                    by.setdefault(parts[depth], {})[path] = bads
+            count = {s: (sum(map(len, p.values())), sum(b is not None for v in p.values() for b in v), sum(b or 0 for v in p.values() for b in v)) for s, p in by.items()}
+            n, labelled, bad = (sum(c[i] for c in count.values()) for i in range(3))
+            tested = [s for s, c in count.items() if c[0] >= urls.FEW and c[1]]
+            unlike = lambda b, m: log(b, m * bad / labelled) + log(m - b, m * (1 - bad / labelled))
+            kept = [s for s, c in count.items() if c[0] >= urls.COMMON * n or s in tested and 0 < bad < labelled
+                    and unlike(c[2], c[1]) + unlike(bad - c[2], labelled - c[1]) >= math.log(len(tested) / urls.LEVEL)]
+            steps = {}
+            for s in kept:
+                at = steps.setdefault(math.floor((count[s][2] + 0.5) / (count[s][1] + 1) * urls.STEPS + 0.5), [0, 0, []])
+                at[0], at[1], at[2] = at[0] + count[s][1], at[1] + count[s][2], at[2] + [s]
+            share = lambda m, b: (b + 0.5) / (m + 1)
+            branches = []
+            for m, b, own in sorted(steps.values(), key=lambda x: share(x[0], x[1])):
+                if branches:
+                    last = branches[-1]
+                    pooled = share(last[0] + m + 0.0, last[1] + b)
+                    error = math.sqrt(pooled * (1 - pooled) * (1 / (last[0] + 1) + 1 / (m + 1)))
+                    if share(m, b) - share(last[0], last[1]) < urls.ERRORS * error:
+                        last[0], last[1], last[2] = last[0] + m, last[1] + b, last[2] + own
+                        continue
+                branches.append([m, b, list(own)])
+            called = {}
+            for _, _, own in branches:
+                parts = [name(s) for s in sorted(own)]
+                called.update(dict.fromkeys(own, "|".join(parts[: urls.NAMED] + ["..."] * (len(parts) > urls.NAMED))))
+            for s, inside in by.items():
+                later.setdefault((host, f"{node}/{called.get(s, '*')}", depth + 1), {}).update(inside)
+        trees = later
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    import random
+    draw = random.Random(5)
+    rows = []
+    for host in ("a", "b"):
+        for i in range(600):
+            parts = [draw.choice(["x", "y", "x|y", "*", "...", "s\\t"]), draw.choice(["news", "spam", f"{i}"]), *draw.choice([[], ["k", "k", f"{i % 7}"], ["k", "k"]])]
+            bad = int(draw.random() < (0.9 if parts[1] == "spam" or parts[0] == "x|y" else 0.1)) if draw.random() < 0.7 else None
+            rows.append((host, "/" + "/".join(parts), bad))
+    rows += [("c", "/" + "a/" * 300, 1), ("d", "", 0), ("d", "/", 1), ("d", "/q", 0)]
+    found = urls.templates(spark.createDataFrame(rows, "host STRING, path STRING, bad INT"))
+    assert {(r["host"], r["path"]): r["template"] for r in found.select("host", "path", "template").collect()} == levels(rows)
+
+
+def test_names_of_branches_and_segments_do_not_clash(spark):
+    rows = [(f"b{i}", f"http://a.com/x|y/{i}", 1) for i in range(40)] + [(f"c{i}", f"http://a.com/{'xy'[i % 2]}/{i}", 0) for i in range(80)]
+    got = judged(spark, rows)
+    assert all(r["verdict"] == ("block" if k[0] == "b" else "allow") for k, r in got.items())
