@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. A word scores one; a tag costs the more,
 the less its kind occurs inside the content of labelled pages, those that mark
-their content themselves. One scan over the scores finds the contiguous region
+their content themselves; on a page without such a mark a tag costs a few words
+at most, since there the same tags make up the content too. One scan over the scores finds the contiguous region
 of largest sum, which is the content. Menus, adverts, forms and the like inside
 it are left out by their element or their class, and so are scripts and styles.
 """
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,13 +22,15 @@ from pyspark.sql import functions as F
 
 # Labelled pages to learn from, at most: those of least hash.
 SAMPLE = 2_000
-# Kinds of tags known: the most frequent of the sample.
-KINDS = 500
+# Kinds of tags known: those on so many pages of the sample.
+SEEN = 2
 # Words that a tag which content never has costs; and the weight of the prior.
 COST = 50.0
 PRIOR = 2.0
 # Inside an article or main element a tag costs this share.
 INSIDE = 0.01
+# On a page without them it costs so many words at most.
+UNMARKED = 3.25
 
 # Elements by their role in HTML.
 CONTENT = "article main".split()
@@ -46,33 +51,61 @@ MARKED = re.compile(
 # Names of what readers add, where an article is a comment.
 ADDED = re.compile(r"(?i)(?<!\S)(?:comments?|respond|disqus\w*)(?!\S)")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# Compound names that hide: such a last part, or such a first part before a word for a container; no part denies it.
+LAST = re.compile(r"(?i)ads?|advert\w*|adsense|sponsor\w*|promo|comments?|disqus|cookies?|consent|banner|newsletter|popup|notice")
+FIRST = re.compile(r"(?i)ads?|advert\w*|adsense|sponsor\w*|promo|comments?|disqus|cookies?|consent|banner|newsletter|popup")
+HOLDER = re.compile(
+    r"(?i)slot|unit|box|block|banner|bar|list|section|area|wrap|wrapper|container|form|thread|feed|panel|overlay|notice|inner|"
+    r"content|body|item|top|bottom|left|right|\d+"
+)
+DENIED = re.compile(r"(?i)no|not|non|has|have|with|without|hide|hidden|free|less")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAMED = re.compile(r"(?i)(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): ("text", "", text), ("open", tag, attributes), ("close", tag, "").
 
-    Comments and the content of raw elements are no tokens. A tag that never
-    ends is text.
+    Comments and the content of raw elements are no tokens. A tag ends at the
+    first ``>`` outside quotes. If quotes let a tag run to the end of the page,
+    they count for nothing from there on; a tag without any ``>`` is text.
     """
-    at = 0
-    while found := _TAG.search(page, at):
-        if found.start() > at:
-            yield "text", "", page[at : found.start()]
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
+    at, last, quoted = 0, page.rfind(">"), True
+    start = 0
+    while found := _OPENS.search(page, at):
+        name = (found[4] or "").lower()
+        if found[1] or found[2]:
+            end = page.find("-->" if found[1] else ">", found.end())
+            end, rest = (len(page) if end < 0 else end + (3 if found[1] else 1)), ""
+        else:
+            closed = _REST.match(page, found.end()) if quoted and found.end() <= last else None
+            if closed is None and found.end() > last:
+                break
+            quoted = closed is not None
+            end = closed.end() if closed else page.find(">", found.end()) + 1
+            rest = page[found.end() : end - 1]
+        if found.start() > start:
+            yield "text", "", page[start : found.start()]
+        at = start = end
         if not name:
             continue
-        if found[1] or found[4]:
+        if found[3]:
             yield "close", name, ""
             continue
-        yield "open", name, found[3] or found[6] or ""
+        yield "open", name, rest
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else len(page)
-    if at < len(page):
-        yield "text", "", page[at:]
+            close = _raw_end(name).search(page, at)
+            at = start = close.start() if close else len(page)
+    if start < len(page):
+        yield "text", "", page[start:]
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I)
 
 
 def _names(name: str, attributes: str) -> str:
@@ -80,6 +113,20 @@ def _names(name: str, attributes: str) -> str:
     return " ".join(" ".join(value) for kind, *value in _NAMED.findall(attributes) if kind.lower() != "id" or name not in LOOSE)
 
 
+@lru_cache(maxsize=10_000)
+def _hides(names: str) -> bool:
+    """Whether a name, whole or by its parts, is one of what is no content."""
+    if MARKED.search(names):
+        return True
+    for name in names.split():
+        parts = _PARTS.split(name)
+        if len(parts) < 2 or any(DENIED.fullmatch(x) for x in parts):
+            continue
+        if LAST.fullmatch(parts[-1]) or FIRST.fullmatch(parts[0]) and HOLDER.fullmatch(parts[1]):
+            return True
+    return False
+
+
 def _left_out(name: str, attributes: str, inside: bool, holds: set[str]) -> bool:
     """Whether an element is no content; ``inside``: an article or main is open.
 
@@ -94,7 +141,7 @@ def _left_out(name: str, attributes: str, inside: bool, holds: set[str]) -> bool
         return not ("main" in holds or around and name == "form")
     if name in CONTENT or name in ("body", "html"):
         return False
-    return not around and bool(MARKED.search(names))
+    return not around and _hides(names)
 
 
 def _holding(items: list[tuple[str, str, str]]) -> dict[int, set[str]]:
@@ -105,26 +152,32 @@ def _holding(items: list[tuple[str, str, str]]) -> dict[int, set[str]]:
     """
     holds: dict[int, set[str]] = {}
     open_: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
     for at, (kind, name, rest) in enumerate(items):
         if kind == "open":
-            if name == "main" or name == "article" and all(n != "article" for n, _ in open_):
+            if name == "main" or name == "article" and not count["article"]:
                 for _, place in reversed(open_):
                     if name in holds.get(place, ()):
                         break
                     holds.setdefault(place, set()).add(name)
-            if name not in VOID and not rest.endswith("/") and (name not in LOOSE or MARKED.search(_names(name, rest))):
+            if name not in VOID and not rest.endswith("/") and (name not in LOOSE or _hides(_names(name, rest))):
                 open_.append((name, at))
-        elif kind == "close" and any(n == name for n, _ in open_):
-            while open_.pop()[0] != name:
-                pass
+                count[name] += 1
+        elif kind == "close" and count[name]:
+            last = None
+            while last != name:
+                last, _ = open_.pop()
+                count[last] -= 1
     return holds
 
 
 def scored(page: str, cost: dict[str, float]) -> Iterator[tuple[float, str]]:
     """(score, text) of each token; a tag that ends a line of text gives a space."""
     open_, hidden = [], 0
+    count: Counter[str] = Counter()
     items = list(tokens(page))
     holds = _holding(items)
+    most = COST if any(kind == "open" and name in CONTENT for kind, name, _ in items) else UNMARKED
     for at, (kind, name, rest) in enumerate(items):
         if kind == "text":
             if not hidden:
@@ -132,19 +185,21 @@ def scored(page: str, cost: dict[str, float]) -> Iterator[tuple[float, str]]:
                 yield float(len(text.split())), text
             continue
         shown = not hidden
-        inside = any(n in CONTENT for n, _ in open_)
-        price = cost.get(name, _cost(name, 0, 0)) * (INSIDE if inside and name not in CONTENT else 1)
+        inside = any(count[n] for n in CONTENT)
+        price = min(most, cost.get(name, _cost(name, 0, 0))) * (INSIDE if inside and name not in CONTENT else 1)
         if kind == "open":
             out = _left_out(name, rest, inside, holds.get(at, set()))
             if out and inside:
                 price = 0.0  # left out as a whole, so it says nothing of what follows
             if (name not in LOOSE or out) and name not in VOID and not rest.endswith("/"):
                 open_.append((name, out))
+                count[name] += 1
                 hidden += out
-        elif any(n == name for n, _ in open_):
+        elif count[name]:
             last = None
             while last != name:
                 last, out = open_.pop()
+                count[last] -= 1
                 hidden -= out
             shown &= not hidden
         if shown:
@@ -171,39 +226,42 @@ def _cost(name: str, inside: int, n: int) -> float:
     return COST * (1 - (inside + PRIOR * usual) / (n + PRIOR))
 
 
+TALLY = "inside n pages".split()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tag, inside, n) per batch of labelled pages."""
+    """(tag, inside, n, pages) per batch of labelled pages."""
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for page in batch.column("html").to_pylist():
-            depth = 0
+            depth, met = 0, set()
             for kind, name, _ in tokens(page):
                 if kind == "text":
                     continue
                 edge = name in CONTENT
                 depth = max(0, depth + (1 if kind == "open" else -1)) if edge else depth
-                tally = counts.setdefault(name, [0, 0])
+                tally = counts.setdefault(name, [0, 0, 0])
                 tally[0] += depth > 0 and not edge
                 tally[1] += 1
-        yield pa.RecordBatch.from_pydict(
-            {"tag": list(counts), "inside": [c[0] for c in counts.values()], "n": [c[1] for c in counts.values()]},
-            pa.schema([("tag", pa.string()), ("inside", pa.int64()), ("n", pa.int64())]),
-        )
+                tally[2] += name not in met
+                met.add(name)
+        values = list(counts.values())
+        yield pa.RecordBatch.from_pydict({"tag": list(counts)} | {name: pa.array([v[i] for v in values], pa.int64()) for i, name in enumerate(TALLY)})
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
     """Cost of each kind of tag, from those of ``pages`` with an article or main element.
 
     ``pages``: page_id, url, html. ``SAMPLE`` of them are read (rows of equal id
-    and url together) and ``KINDS`` kinds kept; a kind not met
+    and url together) and the kinds kept that ``SEEN`` of them have; any other kind
     has the cost of the prior: none for what text is made of, full for others.
     """
     labelled = pages.select(F.xxhash64("page_id", "url").alias("_order"), "html").filter(F.rlike("html", F.lit(r"(?i)<(article|main)[\s>]")))
     # Only hashes are put in order; the pages below the last one stay where they are.
     last = labelled.select("_order").orderBy("_order").limit(SAMPLE).agg(F.max("_order")).first()[0]
     labelled = labelled.filter(F.col("_order") <= F.lit(last)).select("html")
-    counts = labelled.mapInArrow(_count, "tag STRING, inside BIGINT, n BIGINT").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "tag").limit(KINDS).collect()
+    counts = labelled.mapInArrow(_count, "tag STRING, inside BIGINT, n BIGINT, pages BIGINT")
+    rows = counts.groupBy("tag").agg(*[F.sum(name).alias(name) for name in TALLY]).filter(F.col("pages") >= SEEN).collect()
     return {r["tag"]: _cost(r["tag"], r["inside"], r["n"]) for r in rows}
 
 

@@ -74,3 +74,30 @@ def test_the_given_pages(spark):
 ])
 def test_only_whole_names_hide_and_never_what_holds_the_article(cost, body, wanted):
     assert extraction.main_text(SHELL.format(body), cost) == wanted
+
+
+BLOCKS = [f"b{i} {WORDS} {WORDS}" for i in range(40)]
+
+
+@pytest.mark.parametrize("body, wanted", [
+    # pages that do not mark their content
+    ("".join(f"<div>{b}</div>" for b in BLOCKS), " ".join(BLOCKS)),
+    (f"<p>{BLOCKS[0]}</p><ul><li>x</li><li>y z</li></ul><p>{BLOCKS[1]}</p><p>{BLOCKS[2]}</p>", f"{BLOCKS[0]} x y z {BLOCKS[1]} {BLOCKS[2]}"),
+    (f"<section><h2>A</h2><p>{BLOCKS[0]}</p></section><section><h2>B</h2><p>{BLOCKS[1]}</p></section>", f"A {BLOCKS[0]} B {BLOCKS[1]}"),
+    # compound names of adverts, notices and comments
+    *[(f"<article><p>{WORDS}</p><div {a}><p>BUY NOW</p></div><p>end</p></article>", f"{WORDS} end") for a in (
+        'class="ad-slot"', 'class="comment-list"', 'class="cookie-notice"', 'class="post-comments"', 'id="user-comments"', 'id=adSlot', 'class="x ad_unit"')],
+    *[(f"<article><p>{WORDS}</p><section {a}><p>x y</p></section></article>", f"{WORDS} x y") for a in (
+        'class="no-ads"', 'id="ad-hoc-networks"', 'class="has-comments"', 'id="cookie-recipes"', 'id="notice-period"')],
+])
+def test_unmarked_pages_and_compound_names(cost, body, wanted):
+    assert extraction.main_text(SHELL.format(body), cost) == wanted
+
+
+@pytest.mark.parametrize("page", ["<a " * 40000, "<a b='" * 40000, "<div>" * 40000, '<a ">" ' * 40001, "<" * 100000, "<div>" * 20000 + "</p>" * 20000,
+                                  "<article>" * 20000 + "<main>" * 20000, "<!-- <a>" * 30000, "<script></x>" * 20000])
+def test_odd_pages_take_linear_time(cost, page):
+    import time
+    started = time.process_time()
+    extraction.main_text(page, cost)
+    assert time.process_time() - started < 3
