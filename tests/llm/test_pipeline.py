@@ -66,4 +66,4 @@ def test_stages(spark, folder):
 def test_registered():
     assert entry_module.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
