@@ -7,11 +7,13 @@ them, and a coordinate is the least rank. A shingle's ranks in all coordinates
 are therefore neighbours in memory: a signature is one gather and one minimum.
 
 Bands of coordinates make buckets. Descriptions with equal sets are one class
-from the start, and a bucket is never paired out: a few leaders of each bucket
-are compared with its other classes, links are confirmed on the full sets,
-classes that these tie get one label, and only buckets that still hold several
-labels go on, with more leaders each round and without those that have met
-everyone. Components are made once, of all links.
+from the start, and a bucket is never paired out. Each class is compared with
+the most central class it meets, then with the leaders of its buckets; links are
+confirmed on the full sets, and classes that these tie get one label. What is
+left in buckets of several labels is searched by the rarest shingles of each
+set: two sets that are similar enough share one of them, so this last step
+loses nothing, whatever the size of a bucket. Components are made once, of all
+links.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longbox.llm.components import components
@@ -41,14 +43,9 @@ SEED = 20
 # Places handled at a time, which bounds the memory of a very long text.
 PLACES = 8192
 # Links that a label crosses within a round.
-HOPS = 4
-# Leaders of a bucket grow by this factor from round to round.
-LEADERS = 4
-# Four low bits of each of 512 coordinates, 16 in a word of 64 bits, tell hopeless
-# pairs: at the threshold one in 4.3 coordinates differs, and that more than 200 do
-# has a probability below 1e-13 by Chernoff's bound, less than one pair of any corpus.
-SKETCH = 32
-DIFFERENT = 200
+HOPS = 2
+# Sets that share a shingle are met in parts of about so many.
+SHARING = 1000
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -96,7 +93,7 @@ class Circulant:
         draw = np.random.default_rng(SEED)
         self.place = draw.permutation(UNIVERSE).astype(np.int32)
         rank = draw.permutation(UNIVERSE).astype(np.int32)
-        length = SKETCH * 16
+        length = BANDS * ROWS
         self.ranks = sliding_window_view(np.concatenate([rank, rank[: length - 1]]), length)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
@@ -108,31 +105,14 @@ class Circulant:
 
     def bands(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit bucket number a band."""
-        rows = signature[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+        rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
         bucket = np.arange(1, BANDS + 1, dtype=np.uint64)
         for i in range(ROWS):
             bucket = _mix(bucket) + rows[:, i]
         return _mix(bucket).view(np.int64)
 
 
-SIGNED = "id BIGINT, n_shingles BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT>, sketch ARRAY<BIGINT>"
-
-
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """The four low bits of all coordinates, packed."""
-    bits = (signature.reshape(SKETCH, -1) & 15).astype(np.uint64)
-    return (bits << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _differences(a: str, b: str) -> Column:
-    """Number of coordinates whose bits differ between two sketches."""
-    total = F.lit(0)
-    for i in range(SKETCH):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        pairs = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        either = pairs.bitwiseOR(F.shiftrightunsigned(pairs, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(either)
-    return total
+SIGNED = "id BIGINT, n_shingles BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +120,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column("description"))
         digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-        signatures = [circulant.signature(s) if len(s) else None for s in sets]
+        bands = [circulant.bands(circulant.signature(s)) if len(s) else [] for s in sets]
         yield pa.RecordBatch.from_pydict(
             {
                 "id": batch.column("id"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array([d[0] for d in digests], pa.int64()),
                 "d2": pa.array([d[1] for d in digests], pa.int64()),
-                "bands": pa.array([[] if s is None else circulant.bands(s) for s in signatures], pa.list_(pa.int64())),
-                "sketch": pa.array([[] if s is None else sketch(s) for s in signatures], pa.list_(pa.int64())),
+                "bands": pa.array(bands, pa.list_(pa.int64())),
             }
         )
 
@@ -205,52 +184,78 @@ def _central(members: DataFrame) -> DataFrame:
     return members.join(_by_key(weights), "rep")
 
 
-def _links(members: DataFrame, sets: DataFrame, details: DataFrame) -> list[DataFrame]:
-    """Confirmed links (u, v) between the ``members`` of open buckets, by rounds.
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v, lu, lv) of a class with ``_rep``, of unlike labels and like sizes."""
+    hopeful = (F.col("label") != F.col("_label")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
+    return met.filter(hopeful).select(
+        F.least("_rep", "rep").alias("u"), F.greatest("_rep", "rep").alias("v"),
+        F.least("_label", "label").alias("lu"), F.greatest("_label", "label").alias("lv"),
+    ).distinct()
+
 
-    ``members``: bucket, rep, n, weight, label; ``details``: rep, n, sketch and
-    bands. Each round compares some members of a bucket, the leaders, with all
-    its others; those then leave it. Labels that new links tie become one, and the
-    rounds end when no bucket holds two labels any more, so that every pair has
-    met or is linked otherwise. Central members lead first: they link most of a
-    group at once, and who is linked need not be compared again. From the second
-    round on a pair meets in its first common bucket only, and if its sketches
-    leave it hope.
+def _led(members: DataFrame) -> DataFrame:
+    """``members`` beside the leader of each bucket, the most central class in it."""
+    leaders = top_per_group(members, ["bucket"], [F.desc("weight"), F.col("rep")], 1)
+    return members.join(_by_key(leaders.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("rep", "n", "label", "weight")])), "bucket")
+
+
+def _rare(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v, lu, lv) of all ``members`` that may be similar, by their rarest shingles.
+
+    Shingles have one order: those of a single label, which tie nothing, then
+    others from rare to common. At the first shingle that two sets share in it,
+    at place p of a and q of b shingles, they share ``1 + min(a - p, b - q)`` at
+    most, and three sevenths of ``a + b`` at least if they are similar enough.
+    That place lies in the first quarter of each set and in the first seventh of
+    the smaller one, so only these are joined. A common shingle is met in parts.
     """
-    confirmed, leaders = [], 1
-    known = ["rep", "n", "label"]
-    while not members.isEmpty():
-        chosen = top_per_group(members, ["bucket"], [F.desc("weight"), F.col("rep")], leaders)
-        chosen = chosen.select("bucket", *[F.col(c).alias(f"_{c}") for c in known])
-        chosen = stored(chosen, "leaders")
-        hopeful = (F.col("label") != F.col("_label")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n"))
-        if leaders > 1:
-            first = F.array_min(F.array_intersect("bands", "_bands")) == F.col("bucket")
-            hopeful = hopeful & (_differences("sketch", "_sketch") <= DIFFERENT) & first
-        pairs = (
-            members.join(_by_key(chosen), "bucket")
-            .filter(hopeful)
-            .select(
-                F.least("_rep", "rep").alias("u"), F.greatest("_rep", "rep").alias("v"),
-                F.least("_label", "label").alias("lu"), F.greatest("_label", "label").alias("lv"),
-            )
-            .distinct()
-        )
-        links = stored(_confirmed(pairs, sets), "links")
+    labels = members.select("rep", "label").distinct()
+    # An id with several texts has several sets.
+    said = sets.select(
+        F.col("id").alias("rep"), F.xxhash64("shingles").alias("text"), F.size("shingles").cast("bigint").alias("n"), "shingles"
+    ).join(_by_key(labels), "rep").dropDuplicates(["rep", "text"])
+    said = stored(said.select("rep", "text", "n", "label", F.explode("shingles").alias("shingle")), "shingles")
+    uses = said.groupBy("shingle").agg(F.count("*").alias("uses"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+    shared = said.join(_by_key(uses.filter("_a < _b").select("shingle", "uses")), "shingle")
+    own = Window.partitionBy("rep", "text")
+    places = shared.select(
+        "*", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("uses", "shingle"))).alias("place")
+    )
+    first = places.filter(100 * (F.col("n") + 1 - F.col("place")) >= PERCENT * F.col("n")).withColumn(
+        "parts", 1 + F.floor(F.col("uses") / SHARING)
+    )
+    first = stored(first, "rarest")
+    larger = first.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    smaller = first.filter((100 + PERCENT) * (F.col("n") + 1 - F.col("place")) >= 2 * PERCENT * F.col("n"))
+    smaller = smaller.select(
+        "shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
+        *[F.col(c).alias(f"_{c}") for c in ("rep", "n", "label", "place")],
+    )
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
+    ordered = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_rep") < F.col("rep")))
+    enough = (100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("_n"))
+    keys = (larger["shingle"] == smaller["shingle"]) & (larger["part"] == smaller["part"])
+    alike = keys & ordered & enough & (F.col("label") != F.col("_label"))
+    return _pairs(larger.join(_by_key(smaller), alike).select("rep", "n", "label", "_rep", "_n", "_label"))
+
+
+def _links(members: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Confirmed links (u, v) that tie all similar ``members`` of open buckets.
+
+    ``members``: bucket, rep, n, weight, label. Central members link most of a
+    group at once, and who is linked need not be compared again. First each class
+    meets one other, then the leader of each bucket that still holds several
+    labels; the rarest shingles find the links between all that remain.
+    """
+    central = [F.desc("_weight"), F.col("_rep")]
+    best = _pairs(top_per_group(_led(members).filter("_rep <> rep"), ["rep"], central, 1))
+    confirmed = []
+    for pairs_of in (lambda m: best, lambda m: _pairs(_led(m))):
+        links = stored(_confirmed(pairs_of(members), sets), "links")
         confirmed.append(links.select("u", "v"))
-        met = chosen.select("bucket", F.col("_rep").alias("rep"))
-        rest = (
-            members.join(_by_key(met), ["bucket", "rep"], "left_anti")
-            .join(_by_key(_merged(links)), "label", "left")
-            .withColumn("label", F.coalesce("lower", "label"))
-            .drop("lower")
-        )
-        if leaders == 1:
-            rest, known = _open(rest).join(_by_key(details), ["rep", "n"]), [*known, "sketch", "bands"]
-        else:
-            rest = _open(rest)
-        members = stored(rest, "members")
-        leaders *= LEADERS
+        lower = members.join(_by_key(_merged(links)), "label", "left").withColumn("label", F.coalesce("lower", "label"))
+        members = stored(_open(lower.drop("lower")), "members")
+    confirmed.append(stored(_confirmed(_rare(members, sets), sets), "links").select("u", "v"))
     return confirmed
 
 
@@ -275,8 +280,7 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
     members = stored(_central(members), "members")
     met = members.select(F.col("rep").alias("id")).distinct()
     full = stored(texts.join(_by_key(met), "id", "left_semi").mapInArrow(_shingle, "id BIGINT, shingles ARRAY<BIGINT>"), "sets")
-    details = first.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").distinct()
-    links = _links(members, full, details)
+    links = _links(members, full)
     # An id with several texts belongs to several classes and so ties them.
     several = sets.groupBy("id").agg(
         (F.min("d1") < F.max("d1")).alias("_d1"), (F.min("d2") < F.max("d2")).alias("_d2")
@@ -284,7 +288,7 @@ def near_duplicates(issues: DataFrame) -> DataFrame:
     ties = sets.join(several, "id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     labels = components(reduce(DataFrame.unionByName, links, ties)).withColumnRenamed("u", "rep")
     named = classes.join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("_least"))
-    whole = signed.drop("bands", "sketch").withColumn("_in", F.col("n_shingles") > 0).join(named, ["d1", "d2"], "left")
+    whole = signed.drop("bands").withColumn("_in", F.col("n_shingles") > 0).join(named, ["d1", "d2"], "left")
     component = F.when(F.col("_in") & F.col("id").isNotNull(), F.col("_least")).otherwise(F.col("id"))
     return whole.select(
         "id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
